@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash
+from . import bagminhash, orderminhash
 from .tables import table
 
 
+def op1_orderminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderminhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_classes(table(spark, sf_dir, "documents"))
 
