@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, orderminhash, tiling
+from . import bagminhash, discriminant, orderminhash, tiling
 from .tables import table
 
 
@@ -18,6 +18,10 @@ def op4_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discriminant.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_classes(table(spark, sf_dir, "documents"))
 
