@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, discriminant, orderminhash, tiling
+from . import bagminhash, discriminant, kneserney, orderminhash, tiling
 from .tables import table
 
 
@@ -14,6 +14,10 @@ def op1_orderminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderminhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_kneserney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneserney.languages(table(spark, sf_dir, "documents"))
+
+
 def op4_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
