@@ -131,3 +131,35 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
     ends = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=ends[1:])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+
+
+class Lookup:
+    """Finds 64-bit keys in a sorted array of distinct ones.
+
+    Each slot of a table twice as large holds one key, the heaviest of those
+    that fall on it, so most searches cost one read; only the others bisect.
+    """
+
+    def __init__(self, keys: np.ndarray, weight: np.ndarray | None = None):
+        self.keys = keys
+        self.shift = U(63 - max(1, int(len(keys)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.slot_at = np.zeros(size, np.int32)
+        self.slot_key = np.zeros(size, U)
+        if len(keys):
+            order = np.arange(len(keys)) if weight is None else np.argsort(weight, kind="stable")
+            self.slot_at[(keys[order] * _ODD) >> self.shift] = order
+            self.slot_key = keys[self.slot_at]
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index, whether it is there) of each wanted key."""
+        if not len(self.keys):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        slot = (wanted * _ODD) >> self.shift
+        at = self.slot_at[slot].astype(np.int64)
+        hit = self.slot_key[slot] == wanted
+        rest = np.flatnonzero(~hit)
+        if len(rest):
+            near = np.minimum(np.searchsorted(self.keys, wanted[rest]), len(self.keys) - 1)
+            at[rest], hit[rest] = near, self.keys[near] == wanted[rest]
+        return at, hit

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U, cuts, utf8
+from .arrays import Lookup, U, cuts, utf8
 from .tables import remainder
 
 ORDER = 5
@@ -75,11 +75,6 @@ def hashes(codes: np.ndarray, places: np.ndarray, order: int) -> list[np.ndarray
     return found
 
 
-def _search(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
-
-
 class KneserNey:
     """grams[o]: sorted hashes of the (o+1)-grams and their log probabilities, one column a language; contexts[o]: of
     the histories of o characters and the log of the weight they leave to the next lower order."""
@@ -110,11 +105,11 @@ class KneserNey:
                 lower = np.full((len(keys), many), 1 / (len(keys) + 1))
                 self.floor = np.log(weight[0] / (len(keys) + 1))
             else:
-                where, _ = _search(self.grams[-1][0], suffix[o - 1][first])
+                where, _ = self.grams[-1][0].find(suffix[o - 1][first])
                 lower = below[where]
             p = np.maximum(c - discount, 0) / np.maximum(total[of], 1) + weight[of] * lower
-            self.grams.append((keys, np.log(p).astype(np.float32)))
-            self.contexts.append((context, np.log(weight).astype(np.float32)))
+            self.grams.append((Lookup(keys, c.sum(axis=1)), np.log(p).astype(np.float32)))
+            self.contexts.append((Lookup(context, total.sum(axis=1)), np.log(weight).astype(np.float32)))
             below = p
 
     def logs(self, codes: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -123,13 +118,13 @@ class KneserNey:
         suffix = hashes(codes, places, self.order)
         left = np.arange(len(places))
         for o in range(self.order - 1, -1, -1):
-            at, hit = _search(self.grams[o][0], suffix[o][left])
+            at, hit = self.grams[o][0].find(suffix[o][left])
             out[left[hit]] += self.grams[o][1][at[hit]]
             left = left[~hit]
             if not len(left):
                 break
             if o:
-                at, hit = _search(self.contexts[o][0], hashes(codes, places[left] - 1, o)[-1])
+                at, hit = self.contexts[o][0].find(hashes(codes, places[left] - 1, o)[-1])
                 out[left[hit]] += self.contexts[o][1][at[hit]]
             else:
                 out[left] += self.floor

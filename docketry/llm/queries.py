@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, discriminant, kneserney, orderminhash, tiling
+from . import bagminhash, contexttree, discriminant, kneserney, orderminhash, tiling
 from .tables import table
 
 
@@ -30,6 +30,10 @@ def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op10_contexttree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contexttree.scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
