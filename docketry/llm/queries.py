@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, contexttree, discriminant, kneserney, orderminhash, tiling, windows
+from . import bagminhash, contexttree, discriminant, kneserney, orderminhash, regions, tiling, windows
 from .tables import table
 
 
@@ -22,6 +22,10 @@ def op4_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.repeated_passages(table(spark, sf_dir, "documents"))
 
