@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, contexttree, discriminant, kneserney, orderminhash, regions, tiling, windows
+from . import bagminhash, contexttree, discriminant, kneserney, licenses, orderminhash, regions, tiling, windows
 from .tables import table
 
 
@@ -38,6 +38,10 @@ def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_contexttree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contexttree.scores(table(spark, sf_dir, "documents"))
 
