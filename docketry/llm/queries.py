@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, contexttree, discriminant, kneserney, licenses, orderminhash, regions, tiling, windows
+from . import bagminhash, contexttree, discriminant, kneserney, licenses, mixing, orderminhash, regions, tiling, windows
 from .tables import table
 
 
@@ -18,6 +18,10 @@ def op2_kneserney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneserney.languages(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), mixing.label_domains(table(spark, sf_dir, "labels")))
+
+
 def op4_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
