@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_PAGES = 2_000
-#: Weights without labelled pages: of a tag, of a word in running text, in a link, in an element that names itself no content.
-PRIOR = {"tag": -3.2, "text": 1.0, "link": -1.0, "aside": -6.0}
+#: Weights without labelled pages: of a tag, of a word in running text, of one in a link, of a piece of an element that names itself no content.
+PRIOR = {"tag": -1.0, "text": 1.0, "link": -1.0, "aside": -1.0}
 
 # fixed values: element names and class words of the public HTML vocabulary
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -107,7 +107,7 @@ def features(page: str) -> tuple[Counter, Counter]:
     inside, outside = Counter(), Counter()
     for kind, value, aside, labelled in pieces(page):
         key = "aside" if aside else ("tag" if kind == "break" else kind)
-        (inside if labelled else outside)[key] += len(_WORD.findall(value)) if kind in ("text", "link") else 1
+        (inside if labelled else outside)[key] += len(_WORD.findall(value)) if key in ("text", "link") else 1
     return (inside, outside) if inside else (Counter(), Counter())
 
 
@@ -121,7 +121,7 @@ def weights(inside: dict[str, int], outside: dict[str, int]) -> dict[str, float]
         found["text"] = max(found["text"], 0.1)
         found["tag"] = min(found["tag"], -0.1)
         found["link"] = min(found["link"], found["text"])
-        found["aside"] = min(found["aside"], PRIOR["aside"])
+        found["aside"] = min(max(found["aside"], found["tag"]), -0.1)
     return found
 
 
@@ -132,9 +132,10 @@ def extract(page: str | None, weight: dict[str, float]) -> str:
     total, start = 0.0, 0
     for i, (kind, value, aside, _) in enumerate(run):
         if kind in ("text", "link"):
-            total += weight["aside" if aside else kind] * len(_WORD.findall(value))
+            # what is left out anyway weighs as little as a tag, so that it parts no content
+            total += weight["aside"] if aside else weight[kind] * len(_WORD.findall(value))
         else:
-            total += weight["aside"] / 6 if aside else weight["tag"]
+            total += weight["tag"]
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best[0]:
