@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 from docketry import views
 from docketry.operators import evidence as ev
+from docketry.operators import history as hs
 from docketry.operators import profiles as pr
+from docketry.operators import review as rw
 from docketry.oracles import sql
 from docketry.plans.classify import classify
+from docketry.rules import review as rv
+from docketry.sources import uploads as up
+from docketry.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,3 +129,117 @@ def profile_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = c.ranked.where("rank = 1").join(support, "doc_id", "left").join(missing, "doc_id", "left")
     level, value = pr.confidence(F.col("score"), F.least(F.lit(12), F.coalesce("support", F.lit(0))), F.coalesce("gaps", F.lit(0)))
     return rows.select("doc_id", level.alias("level"), value.alias("confidence"))
+
+
+@query("mark_duplicates", """SELECT org_id, history_doc_id, sha256(text) AS sha256, nullif(first_value(history_doc_id) OVER (PARTITION BY org_id, sha256(text) ORDER BY created_at, history_doc_id), history_doc_id) AS duplicate_of FROM history""")
+def mark_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hs.mark_duplicates(views.history_docs(spark, sf_dir)).select("org_id", "history_doc_id", "sha256", "duplicate_of")
+
+
+@query("batch_status", """SELECT *, CASE WHEN files - completed - failed > 0 THEN CASE WHEN processing > 0 THEN 'processing' ELSE 'queued' END WHEN failed > 0 THEN CASE WHEN completed > 0 THEN 'completed_with_errors' ELSE 'failed' END ELSE 'completed' END AS status FROM (
+    SELECT org_id, batch_id, count(*) AS files, count(*) FILTER (ingestion_status = 'queued') AS queued, count(*) FILTER (ingestion_status = 'processing') AS processing, count(*) FILTER (ingestion_status = 'indexed') AS indexed,
+    count(*) FILTER (ingestion_status = 'failed') AS failed, count(*) FILTER (ingestion_status = 'duplicate') AS duplicate, count(*) FILTER (ingestion_status IN ('indexed', 'duplicate')) AS completed FROM history GROUP BY org_id, batch_id)""")
+def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hs.batch_status(views.history_docs(spark, sf_dir))
+
+
+@query("workspace_counts", "SELECT org_id, count(*) AS documents, count(*) FILTER (ingestion_status = 'indexed') AS indexed, count(*) FILTER (ingestion_status = 'failed') AS failed, count(DISTINCT sha256(text)) AS contents FROM history GROUP BY org_id")
+def workspace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hs.workspace_counts(views.history_docs(spark, sf_dir))
+
+
+@query("chunk_text")
+def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hs.chunk_text(views.history_docs(spark, sf_dir))
+
+
+_SEARCH = f"""SELECT * FROM (SELECT org_id, query_id, chunk_id, matches, matches / 10 AS score, CAST(row_number() OVER (PARTITION BY org_id, query_id ORDER BY matches DESC, created_at DESC, chunk_id) AS INTEGER) AS rank FROM (
+    SELECT q.org_id, query_id, chunk_id, created_at, CAST(count(*) AS BIGINT) AS matches FROM
+      (SELECT DISTINCT org_id, query_id, token FROM (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY first_) AS place FROM (
+        SELECT *, min(i) OVER (PARTITION BY query_id, token) AS first_ FROM (SELECT org_id, history_doc_id AS query_id, unnest(range(len(t))) AS i, lower(unnest(t)) AS token FROM
+          (SELECT *, regexp_extract_all(text, '{rv.TOKEN}') AS t FROM history WHERE history_doc_id % 100 = 0)) WHERE token NOT IN ({", ".join(f"'{w}'" for w in rv.STOP_WORDS)}))) WHERE place <= {rv.QUERY_TERMS}) q
+      JOIN (SELECT org_id, history_doc_id AS chunk_id, created_at, lower(unnest(regexp_extract_all(text, '{rv.TOKEN}'))) AS token FROM history) h ON q.org_id = h.org_id AND q.token = h.token
+    GROUP BY q.org_id, query_id, chunk_id, created_at)) WHERE rank <= {rv.MATCHES}"""
+
+
+@query("search_lexical", _SEARCH)
+def search_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.history_docs(spark, sf_dir)
+    asked = hs.query_terms(docs.where("history_doc_id % 100 = 0").withColumnRenamed("history_doc_id", "query_id"))
+    return hs.search_lexical(asked, docs.withColumnRenamed("history_doc_id", "chunk_id"))
+
+
+_EVENTS = """SELECT CAST(o_custkey AS BIGINT) AS run_id, CAST(o_orderkey AS BIGINT) AS seq,
+  CASE o_orderkey % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'queued' WHEN 2 THEN 'running' WHEN 3 THEN 'completed' WHEN 4 THEN 'needs_attention' ELSE 'unknown' END AS status FROM orders"""
+
+
+@query("check_transitions", f"""SELECT run_id, seq, f AS from_status, status AS to_status, coalesce((f, status) IN ({", ".join(f"('{a}', '{b}')" for a, b in rv.TRANSITIONS)}), false) AS allowed
+    FROM (SELECT *, lag(status) OVER (PARTITION BY run_id ORDER BY seq) AS f FROM ({_EVENTS})) WHERE f IS NOT NULL""")
+def check_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views.views(spark, sf_dir, "orders")
+    return rw.check_transitions(spark.sql(_EVENTS))
+
+
+@query("review_queue", """SELECT org_id, run_id, workflow_state, updated_at, CAST(row_number() OVER (PARTITION BY org_id ORDER BY updated_at, run_id) AS INTEGER) AS place FROM runs
+    WHERE NOT archived AND requires_human_review AND workflow_state IN ('pending_review', 'in_review', 'needs_information', 'escalated', 'in_technical_review')""")
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rw.review_queue(views.runs(spark, sf_dir))
+
+
+_REVIEWS = """SELECT CAST(l_orderkey AS BIGINT) AS run_id, CAST(l_linenumber AS BIGINT) AS review_id, l_shipdate AS created_at, l_linenumber % 2 = 0 AS claimed,
+  CASE (l_orderkey + l_linenumber) % 5 WHEN 0 THEN 'pending_review' WHEN 1 THEN 'approved' WHEN 2 THEN 'reviewed' WHEN 3 THEN 'rejected' ELSE 'needs_more_information' END AS status FROM lineitem"""
+_LATEST = f"SELECT run_id, review_id, status, claimed, created_at FROM ({_REVIEWS}) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY created_at DESC, review_id DESC) = 1"
+
+
+@query("latest_review", _LATEST)
+def latest_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views.views(spark, sf_dir, "lineitem")
+    return rw.latest_review(spark.sql(_REVIEWS))
+
+
+@query("review_label", f"""SELECT r.run_id, CASE WHEN NOT requires_human_review THEN 'not_requested' WHEN l.status IS NULL OR l.status = 'pending_review' THEN CASE WHEN claimed THEN 'under_review' ELSE 'review_required' END
+    WHEN l.status = 'needs_more_information' THEN 'review_required' ELSE l.status END AS code FROM runs r LEFT JOIN ({_LATEST}) l ON r.run_id = l.run_id""")
+def review_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views.views(spark, sf_dir, "lineitem")
+    return rw.review_label(views.runs(spark, sf_dir), rw.latest_review(spark.sql(_REVIEWS)))
+
+
+_ACTIONS = """SELECT CAST(l_orderkey AS BIGINT) AS run_id, CAST(l_linenumber AS BIGINT) AS seq,
+  CASE (l_orderkey + 3 * l_linenumber) % 7 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' WHEN 2 THEN 'needs_more_information' WHEN 3 THEN 'reviewed' WHEN 4 THEN 'pending_review' ELSE 'comment' END AS action FROM lineitem"""
+
+
+@query("workflow_state", f"""SELECT run_id, seq, last_value(s IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS workflow_state
+    FROM (SELECT *, CASE action {" ".join(f"WHEN '{a}' THEN '{s}'" for a, s in rv.WORKFLOW)} END AS s FROM ({_ACTIONS}))""")
+def workflow_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views.views(spark, sf_dir, "lineitem")
+    return rw.workflow_state(spark.sql(_ACTIONS))
+
+
+_AUDIT = "SELECT 'org' || CAST(user_id % 7 AS VARCHAR(4)) AS org_id, CAST(event_id AS BIGINT) AS event_id, ts AS created_at, event_type AS action FROM events"
+
+
+@query("audit_log", f"SELECT org_id, event_id, action, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY created_at DESC, event_id DESC) AS place FROM ({_AUDIT})) WHERE place <= 100")
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views.views(spark, sf_dir, "events")
+    return rw.audit_log(spark.sql(_AUDIT)).select("org_id", "event_id", "action", "place")
+
+
+@query("candidate_groups", "SELECT doc_id AS run_id, count(*) FILTER (candidate_type = 'review_candidate') AS review, CAST(0 AS BIGINT) AS fallback, count(*) FILTER (candidate_type = 'blocked_candidate') AS blocked, CAST(0 AS BIGINT) AS excluded FROM candidates GROUP BY doc_id")
+def candidate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rw.candidate_groups(classify(views.briefs(spark, sf_dir)).candidates.withColumnRenamed("doc_id", "run_id"))
+
+
+_FILES = "SELECT CAST(l_suppkey AS BIGINT) AS batch_id, CAST(l_quantity * 150000 AS BIGINT) AS size_bytes FROM lineitem WHERE l_linenumber <= 3"
+
+
+@query("check_batches", f"""SELECT batch_id, files, total_bytes, CASE WHEN files = 0 THEN 'no_files' WHEN files > 20 THEN 'too_many_files' WHEN total_bytes > 52428800 THEN 'batch_too_large' WHEN largest > 8388608 THEN 'file_too_large' ELSE 'ok' END AS verdict
+    FROM (SELECT batch_id, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, max(size_bytes) AS largest FROM ({_FILES}) GROUP BY batch_id)""")
+def check_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views.views(spark, sf_dir, "lineitem")
+    return up.check_batches(spark.sql(_FILES))
+
+
+@query("rate_limit")
+def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views.views(spark, sf_dir, "events")
+    return jobs.rate_limit(spark.sql("SELECT CAST(user_id AS STRING) AS key, unix_micros(CAST(ts AS TIMESTAMP)) / 1e6 AS ts FROM events"), 3, 3600.0)
