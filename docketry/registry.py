@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry import views
+from docketry.operators import decision as dc
 from docketry.operators import evidence as ev
 from docketry.operators import history as hs
 from docketry.operators import profiles as pr
 from docketry.operators import review as rw
 from docketry.oracles import sql
 from docketry.plans.classify import classify
+from docketry.rules import decision as dr
 from docketry.rules import review as rv
 from docketry.sources import uploads as up
 from docketry.streaming import jobs
@@ -243,3 +245,67 @@ def check_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     views.views(spark, sf_dir, "events")
     return jobs.rate_limit(spark.sql("SELECT CAST(user_id AS STRING) AS key, unix_micros(CAST(ts AS TIMESTAMP)) / 1e6 AS ts FROM events"), 3, 3600.0)
+
+
+_FORM = "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{f}'" for f, p in dr.FORMS) + " ELSE 'unknown' END AS form FROM briefs"
+_CANON = "(VALUES " + ", ".join(f"('{k}', '{s}')" for k, _, ss, _ in dr.CANONICAL for s in ss) + ") AS v(path_key, signal)"
+_NEED = "(VALUES " + ", ".join(f"('{k}', '{r}')" for k, _, _, rs in dr.CANONICAL for r in rs) + ") AS v(path_key, requirement)"
+_FORM_NEED = "(VALUES " + ", ".join(f"('{f}', '{r}')" for f, rs in dr.FORM_REQUIREMENTS for r in rs) + ") AS v(form, requirement)"
+_WORDS = "(VALUES " + ", ".join(f"('{r}', '{k}')" for r, ks in dr.KEYWORDS for k in ks) + ") AS v(requirement, word)"
+_DIRECT = f"SELECT doc_id, path_key, evidence_id, polarity FROM evidence JOIN {_CANON} USING (signal) WHERE polarity IN ('present', 'ambiguous')"
+_PATHS = f"""SELECT doc_id, path_key, count(DISTINCT evidence_id) AS triggers, CASE WHEN bool_and(polarity = 'ambiguous') THEN 'configuration_dependent' ELSE 'direct_positive' END AS trigger_type FROM (
+    {_DIRECT} UNION ALL SELECT doc_id, 'sensor_industrial', evidence_id, polarity FROM evidence JOIN ({_FORM}) f USING (doc_id) WHERE form = 'gateway' AND contains(lower(quote), 'gateway')
+    AND doc_id NOT IN (SELECT doc_id FROM ({_DIRECT}) WHERE path_key = 'sensor_industrial')) GROUP BY doc_id, path_key"""
+_REQUIREMENTS = f"""SELECT a.doc_id, path_key, a.requirement, m.doc_id IS NOT NULL AS satisfied FROM (
+      SELECT doc_id, path_key, requirement FROM ({_PATHS}) JOIN {_NEED} USING (path_key) UNION SELECT doc_id, path_key, requirement FROM ({_PATHS}) JOIN ({_FORM}) f USING (doc_id) JOIN {_FORM_NEED} USING (form)) a
+    LEFT JOIN (SELECT DISTINCT doc_id, requirement FROM evidence JOIN {_WORDS} ON contains(lower(quote), word) WHERE polarity = 'present') m ON a.doc_id = m.doc_id AND a.requirement = m.requirement"""
+_REGULATIONS = "SELECT 'x' AS code, 'current' AS verification_status UNION ALL SELECT '3A001', 'current' UNION ALL SELECT '5A002', 'current' UNION ALL SELECT '5A991', 'needs_verification'"
+
+
+@query("product_form", _FORM)
+def product_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dc.product_form(views.briefs(spark, sf_dir))
+
+
+@query("resolve_profile", f"""SELECT doc_id, form, coalesce(p, profile) AS profile, coalesce(p <> profile, false) AS overridden FROM (SELECT *, CASE form {" ".join(f"WHEN '{f}' THEN '{p}'" for f, p in dr.FORM_PROFILES)} END AS p FROM ({_FORM}))
+    JOIN ranked USING (doc_id) WHERE rank = 1""")
+def resolve_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.briefs(spark, sf_dir)
+    return dc.resolve_profile(dc.product_form(docs), classify(docs).ranked)
+
+
+@query("capabilities", """SELECT doc_id, signal, CASE WHEN bool_or(polarity = 'present') THEN 'present' WHEN bool_or(polarity = 'ambiguous') THEN 'configuration_dependent' WHEN bool_or(polarity = 'absent') THEN 'absent' ELSE 'unknown' END AS presence
+    FROM evidence GROUP BY doc_id, signal""")
+def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dc.capabilities(ev.source_evidence(views.briefs(spark, sf_dir)))
+
+
+@query("canonical_paths", _PATHS)
+def canonical_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.briefs(spark, sf_dir)
+    return dc.canonical_paths(ev.source_evidence(docs), dc.product_form(docs))
+
+
+@query("provenance_edges", f"SELECT DISTINCT doc_id, evidence_id, path_key FROM ({_DIRECT})")
+def provenance_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dc.provenance_edges(ev.source_evidence(views.briefs(spark, sf_dir)))
+
+
+@query("assess_requirements", _REQUIREMENTS)
+def assess_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.briefs(spark, sf_dir)
+    evidence, forms = ev.source_evidence(docs), dc.product_form(docs)
+    return dc.assess_requirements(dc.canonical_paths(evidence, forms), forms, evidence)
+
+
+@query("gate_candidates", f"""SELECT c.doc_id, c.code, c.k AS path_key, CASE WHEN p.doc_id IS NULL THEN 'rejected' WHEN g.code IS NULL OR coalesce(n, 0) > 0 THEN 'blocked' ELSE 'eligible' END AS status,
+      concat_ws('|', CASE WHEN p.doc_id IS NULL THEN 'review_path_not_open|no_positive_path_trigger_evidence' END, CASE WHEN g.code IS NULL THEN 'current_regulatory_text_unavailable' END, u.unmet) AS reasons
+    FROM (SELECT *, CASE path_key {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in dr.ALIASES)} ELSE path_key END AS k FROM candidates) c
+    LEFT JOIN ({_PATHS}) p ON p.doc_id = c.doc_id AND p.path_key = c.k LEFT JOIN (SELECT doc_id, path_key, count(*) AS n, string_agg(DISTINCT replace(requirement, ' ', '_') || '_unknown', '|' ORDER BY replace(requirement, ' ', '_') || '_unknown') AS unmet
+      FROM ({_REQUIREMENTS}) WHERE NOT satisfied GROUP BY doc_id, path_key) u ON u.doc_id = c.doc_id AND u.path_key = c.k
+    LEFT JOIN ({_REGULATIONS}) g ON g.code = c.code AND g.verification_status = 'current'""")
+def gate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.briefs(spark, sf_dir)
+    c, forms = classify(docs), dc.product_form(docs)
+    paths = dc.canonical_paths(c.evidence, forms)
+    return joined(dc.gate_candidates(c.candidates, paths, dc.assess_requirements(paths, forms, c.evidence), spark.sql(_REGULATIONS)), "reasons")
