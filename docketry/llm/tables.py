@@ -35,6 +35,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Ids that may be broadcast: 8 bytes each, some tens of megabytes as a hash table.
+MOST_BROADCAST_IDS = 500_000
+
+
+def within(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows of df whose id is in ``ids``: filtered before any exchange if the ids, counted first, are few enough to broadcast."""
+    few = ids.count() <= MOST_BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, column, "left_semi")
+
+
 def remainder(doc_id: str, n: int) -> Column:
     """crc32(doc_id as text) mod n; of a null id, that of the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % n
