@@ -231,6 +231,38 @@ def test_repeated_passages_catches_planted_and_leaves_clean(spark):
     assert set(kept) == {0, 1, 2, 4, 5, 6, 7, 8} and shared not in kept[1].text and kept[0].text == texts[0] and kept[2].text == texts[2] and kept[1].n_chars == len(kept[1].text)
 
 
+def test_shared_passages_near_each_other_match_brute_force():
+    rng = np.random.default_rng(7)
+    fresh = lambda n: rng.integers(1, 1 << 40, n).tolist()
+
+    def shingles(words):
+        return np.array([hash(tuple(words[i : i + 5])) & (1 << 63) - 1 for i in range(len(words) - 4)], np.uint64)
+
+    def check(d, a):
+        there = {tuple(a[i : i + 50]) for i in range(len(a) - 49)}
+        want = {w for i in range(len(d) - 49) if tuple(d[i : i + 50]) in there for w in range(i, i + 50)}
+        found = windows.shared_passages(shingles(d), shingles(a))
+        assert want and want <= {w for f in found for w in range(f[0], f[1])}
+        return found
+
+    p, q, line = fresh(50), fresh(200), fresh(12)
+    r = fresh(200)
+    check(p + p, fresh(20) + p + fresh(20))
+    check(p + p + fresh(3) + p, p)
+    check(q + fresh(10) + r, r + fresh(5) + q)
+    check(q + r, r + q)
+    check(q + fresh(10) + r, q + fresh(3000) + r)
+    check(q[:60] + line + r[:60], line + fresh(40) + r[:60] + line + q[:60])
+    near = list(q)
+    near[100] = 0
+    both = windows.shared_passages(shingles(near + fresh(10) + r), shingles(r + fresh(900) + q))
+    assert {(f[0] <= 5 and f[1] >= 195) for f in both if f[0] < 150} == {True} and any(f[0] <= 212 and f[1] >= 408 for f in both)
+    for _ in range(40):
+        parts = [fresh(int(n)) for n in rng.integers(50, 90, 4)]
+        d = [w for k in rng.integers(0, 4, 5) for w in parts[k] + fresh(int(rng.integers(0, 12)))]
+        check(d, [w for k in rng.permutation(4) for w in parts[k] + fresh(int(rng.integers(0, 12)))])
+
+
 def test_repeated_passages_odd_rows(odd, empty):
     assert {(r.doc_id, r.source_id) for r in windows.repeated_passages(odd).collect()} == {(7, 6)}
     assert windows.repeated_passages(empty).collect() == []
