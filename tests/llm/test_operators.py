@@ -263,6 +263,26 @@ def test_shared_passages_near_each_other_match_brute_force():
         check(d, [w for k in rng.permutation(4) for w in parts[k] + fresh(int(rng.integers(0, 12)))])
 
 
+def test_repeated_passages_hold_all_of_brute_force_beside_a_frequent_sentence(spark):
+    rng = np.random.default_rng(11)
+    fresh = lambda n: ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n)]
+    line = fresh(25)
+    texts = [fresh(30) + line + fresh(30) for _ in range(12)]
+    for k in range(12):
+        shared = fresh(int(rng.integers(13, 20))) + line
+        shared += fresh(52 - len(shared))
+        texts += [fresh(30) + shared + fresh(30), fresh(10) + shared + fresh(60)]
+    got = {}
+    for r in windows.repeated_passages(rows(spark, [" ".join(t) for t in texts])).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    seen = set()
+    for d, t in enumerate(texts):
+        runs = [tuple(t[i : i + 50]) for i in range(len(t) - 49)]
+        assert {w for i, x in enumerate(runs) if x in seen for w in range(i, i + 50)} <= got.get(d, set()), d
+        seen.update(runs)
+    assert len(got) == 12
+
+
 def test_repeated_passages_odd_rows(odd, empty):
     assert {(r.doc_id, r.source_id) for r in windows.repeated_passages(odd).collect()} == {(7, 6)}
     assert windows.repeated_passages(empty).collect() == []
