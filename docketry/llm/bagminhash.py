@@ -35,6 +35,7 @@ LIKENESS = 0.8
 BANDS, ROWS = 20, 7
 REGISTERS = BANDS * ROWS
 ROUNDS = 3
+BLOCK = 1_000  # nodes of a bucket that meet in one block
 BESIDE = 4
 NEXT = 16
 SLACK = 4.3
@@ -149,7 +150,8 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE, at_least: float = LIKE
     with the nodes, not with their squares.  The classes found are joined, and
     buckets that still hold several classes meet again, with another head and
     other neighbours, only across classes, ``rounds`` times or until no link is
-    new.  Pairs are first compared by short sketches; texts are fetched for those
+    new.  Nodes of a bucket that are still in different classes then meet as all
+    pairs.  Pairs are first compared by short sketches; texts are fetched for those
     that may reach ``at_least`` only.
     """
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -171,8 +173,10 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE, at_least: float = LIKE
     def side(name: str, column: str) -> DataFrame:
         return pool.select(F.col("doc_id").alias(name), F.col(column).alias(f"{column}_{name}"))
 
-    def check(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_perhaps(at_least, bands * rows), "a long, b long")
+    def perhaps(pairs: DataFrame) -> DataFrame:
+        return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_perhaps(at_least, bands * rows), "a long, b long")
+
+    def alike(near: DataFrame) -> DataFrame:
         both = near.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
         return durable(both.mapInArrow(_alike(shingle, at_least), "a long, b long, alike boolean").where("alike").select("a", "b"))
 
@@ -195,11 +199,19 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE, at_least: float = LIKE
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = durable(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        good = check(pairs)
+        good = alike(perhaps(pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b")))
         if turn and good.isEmpty():
             break
         links = good if links is None else links.unionByName(good)
         labels = durable(classes(links))
+    # what the heads and neighbours left apart meets as all pairs across classes, in blocks of a bucket, by sketches only
+    at = nodes.join(labels, nodes.doc_id == labels.node, "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    mixed = at.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("r0 <> r1").select("bucket", "blocks")
+    at = durable(at.join(mixed, "bucket").join(pool.select("doc_id", "sketch").dropDuplicates(["doc_id"]), "doc_id"))
+    a = at.select("bucket", F.col("doc_id").alias("a"), F.col("root").alias("root_a"), F.col("sketch").alias("sketch_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    b = at.select("bucket", F.col("doc_id").alias("b"), F.col("root").alias("root_b"), F.col("sketch").alias("sketch_b"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
+    near = perhaps(a.join(b, ["bucket", "block"]).where("a < b AND root_a <> root_b")).distinct().join(tested, ["a", "b"], "left_anti")
+    labels = durable(classes(links.unionByName(alike(durable(near)))))
     rooted = members.join(labels, members.copy_of == labels.node, "left").select("doc_id", "copy_of", F.coalesce("root", "copy_of").alias("class_id"))
     sizes = rooted.groupBy("class_id").agg(F.count("*").alias("class_size"))
     return rooted.join(sizes, "class_id").select("doc_id", "class_id", "class_size", "copy_of")

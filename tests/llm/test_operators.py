@@ -357,6 +357,26 @@ def test_near_classes_of_a_large_group(spark):
     assert {out[i] for i in range(120)} == {0} and all(out[i] == i for i in range(120, 140))
 
 
+def test_near_classes_join_all_that_share_a_bucket(spark, monkeypatch):
+    # one bucket, one head and no neighbour: pairs of the other nodes only meet in the last step
+    monkeypatch.setattr(bagminhash, "BESIDE", 0)
+    monkeypatch.setattr(bagminhash, "BLOCK", 7, raising=False)
+    for turn in range(200):
+        texts = []
+        for k in range(6):
+            own = [f"t{turn}s{i}" for i in range(75)] + [f"k{k}x{i}" for i in range(25)]
+            texts += [" ".join(own), " ".join(own[:99] + ["other"]), " ".join(["first"] + own[1:])]
+        signs = set()
+        for t in texts:
+            keys, weight = bagminhash._bag(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 5)
+            signs.add(float(bagminhash.signature(np.zeros(len(keys), int), keys & np.uint64((1 << 48) - 1), weight, 1, 1)[0, 0]))
+        if len(signs) == 1:
+            break
+    assert len(signs) == 1
+    out = {r.doc_id: r.class_id for r in bagminhash.near_classes(rows(spark, texts), bands=1, rows=1, rounds=1).collect()}
+    assert out == {i: i // 3 * 3 for i in range(18)}
+
+
 def test_classes_are_connected_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
