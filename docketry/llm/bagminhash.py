@@ -24,20 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U, Words, bags, by_slice, cuts, lists, mix, utf8
-from .tables import classes, durable
+from .tables import classes, durable, with_groups
 
 SHINGLE = 5
 LIKENESS = 0.8
 BANDS, ROWS = 20, 7
 REGISTERS = BANDS * ROWS
-ROUNDS = 3
-BLOCK = 1_000  # nodes of a bucket that meet in one block
-BESIDE = 4
-NEXT = 16
+#: Nodes and elements of a block; two blocks meet in a task.
+NODES, ELEMENTS = 1_024, 1_000_000
+#: Elements of more sets than this are counted by a matrix product, others by pairs of sets.
+OFTEN = 32
 SLACK = 4.3
 _STEP, _BLOCK, _PLACE = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 
@@ -139,82 +139,153 @@ def _alike(k: int, at_least: float):
     return run
 
 
-def near_classes(docs: DataFrame, shingle: int = SHINGLE, at_least: float = LIKENESS, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
+def _elements(k: int):
+    """(doc_id, bag): the multiset of shingles of each text as a set of numbers, one for each (shingle, occurrence)."""
+
+    def make(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        keys, weight = _bag(data, offsets, k)
+        at = np.repeat((keys >> U(48)).astype(np.int64), weight)
+        turn = np.arange(len(at)) - np.repeat(np.cumsum(weight) - weight, weight)
+        made = mix(np.repeat(keys & U((1 << 48) - 1), weight) * _STEP + turn.astype(U) * _BLOCK)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(made.view(np.int64), np.bincount(at, minlength=len(batch)), pa.int64())], ["doc_id", "bag"])
+
+    return lambda batches: by_slice(make, batches)
+
+
+def shared_counts(flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many elements each two of n sets have in common; flat: their elements, owner: the set of each, ascending."""
+    _, key, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.zeros((n, n))
+    often = np.flatnonzero(times > OFTEN)
+    column = np.full(len(times), -1)
+    column[often] = np.arange(len(often))
+    for lo in range(0, len(often), 2048):
+        of = column[key]
+        some = (of >= lo) & (of < lo + 2048)
+        held = np.zeros((n, min(2048, len(often) - lo)), np.float32)
+        held[owner[some], of[some] - lo] = 1
+        shared += held @ held.T
+    rare = np.flatnonzero((times[key] > 1) & (times[key] <= OFTEN))
+    rare = rare[np.argsort(key[rare], kind="stable")]
+    k, o = key[rare], owner[rare]
+    for step in range(1, OFTEN):
+        same = k[step:] == k[:-step]
+        if not same.any():
+            break
+        np.add.at(shared, (o[:-step][same], o[step:][same]), 1)
+        np.add.at(shared, (o[step:][same], o[:-step][same]), 1)
+    return shared
+
+
+def forest(bags: list[np.ndarray], roots: np.ndarray, at_least: float) -> list[tuple[int, int]]:
+    """Pairs of likeness at_least that join what is alike among the sets; pairs of one root are left out."""
+    n = len(bags)
+    size = np.array([len(x) for x in bags])
+    shared = shared_counts(np.concatenate(bags), np.repeat(np.arange(n), size), n)
+    near = shared / np.maximum(size[:, None] + size[None, :] - shared, 1) >= at_least
+    new, out = np.ones(n, bool), []
+    for first in range(n):
+        if not new[first]:
+            continue
+        new[first], turn = False, [first]
+        while turn:
+            x = turn.pop()
+            found = np.flatnonzero(near[x] & new)
+            new[found] = False
+            turn += found.tolist()
+            out += [(x, y) for y in found.tolist() if roots[x] != roots[y]]
+    return out
+
+
+def _met(at_least: float):
+    """Links of the blocks (bucket, i, j), whose rows follow each other."""
+
+    def links(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(rows).combine_chunks()
+        ids, roots = group.column("doc_id").to_numpy(), group.column("root").to_numpy()
+        if len(ids) < 2 or (roots == roots[0]).all():
+            return
+        bag = group.column("bag").chunk(0)
+        ends, flat = bag.offsets.to_numpy(), bag.values.to_numpy()
+        pairs = forest([flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], roots, at_least)
+        if pairs:
+            x, y = np.array(pairs).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "i", "j")], axis=1)
+            heads = np.append(0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()
+            for x, y in zip(heads, [*heads[1:], len(batch)], strict=True):
+                if last is not None and last != tuple(key[x]):
+                    yield from links(held)
+                    held = []
+                last = tuple(key[x])
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield from links(held)
+
+    return run
+
+
+def near_classes(docs: DataFrame, shingle: int = SHINGLE, at_least: float = LIKENESS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id, class_size, copy_of) for each distinct doc_id of docs(doc_id, text).
 
     class_id is the least doc_id of the connected class over links of likeness
     ``at_least``; copy_of is the least doc_id with the same text.  Equal texts
-    are folded into one node first.  In each bucket of a band, a node meets the
-    bucket's head and the ``BESIDE`` nodes after it in the order of the registers
-    that follow the band, which are those likely to be nearest; so the pairs grow
-    with the nodes, not with their squares.  The classes found are joined, and
-    buckets that still hold several classes meet again, with another head and
-    other neighbours, only across classes, ``rounds`` times or until no link is
-    new.  Nodes of a bucket that are still in different classes then meet as all
-    pairs.  Pairs are first compared by short sketches; texts are fetched for those
-    that may reach ``at_least`` only.
+    are folded into one node first.  In each bucket of a band every node meets
+    the bucket's head, by sketches and then by texts, and the links found are
+    joined to classes.  Buckets whose nodes are in one class then are done.  In
+    all others every two nodes are compared exactly, in blocks of bounded size:
+    a node goes to each pair of blocks with its multiset of shingles, and a task
+    gives back only links that join a block's classes, fewer than it has nodes.
+    So no two nodes that share a bucket go untested unless a class joins them;
+    the work of that last step grows with the square of the nodes of a bucket
+    that one head does not join, the rows with that number over the block's.
     """
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = texts.withColumn("same", F.substring(F.sha2("text", 256), 1, 32)).mapInArrow(_signed(shingle, bands, rows), "doc_id long, same string, bands array<long>, sketch binary")
     signed = durable(signed)
-    members = signed.groupBy("doc_id").agg(F.min("same").alias("same"))
-    firsts = members.groupBy("same").agg(F.min("doc_id").alias("copy_of"))
-    members = durable(members.join(firsts, "same").select("doc_id", "same", "copy_of"))
+    members = durable(signed.groupBy("doc_id").agg(F.min("same").alias("same")))
+    members = durable(with_groups(members, members.groupBy("same").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n")), "same").select("doc_id", "same", "copy_of"))
     signed = signed.join(members.where("doc_id = copy_of"), ["doc_id", "same"]).select("doc_id", "bands", "sketch").dropDuplicates(["doc_id"])
-    after = (F.col("band") + 1) * rows
-    next_registers = F.substring(F.concat(F.substring(F.col("sketch"), after + 1, F.lit(bands * rows)), F.col("sketch")), F.lit(1), F.lit(NEXT))
-    nodes = signed.select("doc_id", "sketch", F.posexplode("bands").alias("band", "bucket")).select("bucket", "doc_id", next_registers.alias("then"))
-    shared = nodes.groupBy("bucket").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("bucket")
-    nodes = durable(nodes.join(shared, "bucket"))
+    nodes = signed.select("doc_id", F.explode("bands").alias("bucket"))
+    heads = nodes.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    nodes = durable(nodes.join(heads, "bucket").select("bucket", "doc_id", "head", "n"))
     # texts and sketches of nodes that share a bucket: the others are read once and never again
-    some = nodes.select("doc_id").distinct()
-    pool = durable(texts.join(some, "doc_id").join(signed.select("doc_id", "sketch"), "doc_id"))
+    pool = durable(texts.join(nodes.select("doc_id").distinct(), "doc_id").join(signed.select("doc_id", "sketch"), "doc_id"))
 
     def side(name: str, column: str) -> DataFrame:
         return pool.select(F.col("doc_id").alias(name), F.col(column).alias(f"{column}_{name}"))
 
-    def perhaps(pairs: DataFrame) -> DataFrame:
-        return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_perhaps(at_least, bands * rows), "a long, b long")
-
-    def alike(near: DataFrame) -> DataFrame:
-        both = near.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
-        return durable(both.mapInArrow(_alike(shingle, at_least), "a long, b long, alike boolean").where("alike").select("a", "b"))
-
-    labels = tested = links = None
-    for turn in range(rounds):
-        at = nodes.withColumn("root", F.col("doc_id")) if labels is None else (
-            nodes.join(labels, nodes.doc_id == labels.node, "left").select("bucket", "doc_id", "then", F.coalesce("root", "doc_id").alias("root"))
-        )
-        # x -> x xor c has no ties; another c makes another node the head
-        salt = F.lit((0x5BD1E9957F4A7C15 * turn) & 0x7FFFFFFFFFFFFFFF)
-        heads = at.groupBy("bucket").agg(
-            F.min(F.struct(F.col("doc_id").bitwiseXOR(salt).alias("salted"), F.col("root").alias("head_root"))).alias("head"), F.min("root").alias("r0"), F.max("root").alias("r1")
-        )
-        mixed = at.join(heads.where("r0 <> r1").select("bucket", F.col("head.salted").bitwiseXOR(salt).alias("head"), "head.head_root"), "bucket")
-        order = Window.partitionBy("bucket", F.substring("then", 1, 1)).orderBy("then", "doc_id")
-        beside = [F.struct(F.lead("doc_id", k).over(order).alias("other"), F.lead("root", k).over(order).alias("other_root")) for k in range(1, BESIDE + 1)]
-        met = mixed.select("doc_id", "root", F.array(F.struct(F.col("head").alias("other"), F.col("head_root").alias("other_root")), *beside).alias("met"))
-        pairs = met.select("doc_id", "root", F.inline("met")).where("root <> other_root").select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = durable(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        good = alike(perhaps(pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b")))
-        if turn and good.isEmpty():
-            break
-        links = good if links is None else links.unionByName(good)
-        labels = durable(classes(links))
-    # what the heads and neighbours left apart meets as all pairs across classes, in blocks of a bucket, by sketches only
-    at = nodes.join(labels, nodes.doc_id == labels.node, "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    mixed = at.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("r0 <> r1").select("bucket", "blocks")
-    at = durable(at.join(mixed, "bucket").join(pool.select("doc_id", "sketch").dropDuplicates(["doc_id"]), "doc_id"))
-    a = at.select("bucket", F.col("doc_id").alias("a"), F.col("root").alias("root_a"), F.col("sketch").alias("sketch_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    b = at.select("bucket", F.col("doc_id").alias("b"), F.col("root").alias("root_b"), F.col("sketch").alias("sketch_b"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
-    near = perhaps(a.join(b, ["bucket", "block"]).where("a < b AND root_a <> root_b")).distinct().join(tested, ["a", "b"], "left_anti")
-    labels = durable(classes(links.unionByName(alike(durable(near)))))
-    rooted = members.join(labels, members.copy_of == labels.node, "left").select("doc_id", "copy_of", F.coalesce("root", "copy_of").alias("class_id"))
-    sizes = rooted.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return rooted.join(sizes, "class_id").select("doc_id", "class_id", "class_size", "copy_of")
+    pairs = nodes.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct().join(side("a", "sketch"), "a").join(side("b", "sketch"), "b")
+    near = pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_perhaps(at_least, bands * rows), "a long, b long")
+    both = near.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
+    links = durable(both.mapInArrow(_alike(shingle, at_least), "a long, b long, alike boolean").where("alike").select("a", "b"))
+    labels = durable(classes(links))
+    # a bucket of two is done; buckets of the same nodes are one
+    at = nodes.where("n > 2").join(labels, nodes.doc_id == labels.node, "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    some = at.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("set"))
+    some = some.where("r0 <> r1").groupBy("n", "set").agg(F.min("bucket").alias("bucket")).select("bucket")
+    at = durable(at.join(some, "bucket"))
+    bag = pool.join(at.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_elements(shingle), "doc_id long, bag array<long>")
+    bag = durable(bag)
+    full = at.join(bag.select("doc_id", F.size("bag").alias("size")), "doc_id").groupBy("bucket").agg(
+        F.greatest(F.ceil(F.count("*") / NODES), F.ceil(F.sum("size") / ELEMENTS)).cast("int").alias("blocks")
+    )
+    own = at.join(full, "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
+    dealt = own.select("bucket", "doc_id", "root", "own", F.explode(other).alias("other")).join(bag, "doc_id")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "root", "bag")
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    more = durable(dealt.mapInArrow(_met(at_least), "a long, b long").distinct())
+    labels = durable(classes(labels.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more)))
+    rooted = durable(members.join(labels, members.copy_of == labels.node, "left").select("doc_id", "copy_of", F.coalesce("root", "copy_of").alias("class_id")))
+    sizes = rooted.groupBy("class_id").agg(F.count("*").alias("n"))
+    return with_groups(rooted, sizes, "class_id").select("doc_id", "class_id", F.col("n").alias("class_size"), "copy_of")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

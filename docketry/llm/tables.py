@@ -45,11 +45,30 @@ def within(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, column, "left_semi")
 
 
+#: A key of more than this many rows, and of more than a thousandth of all, is joined by broadcast: a thousand keys at most.
+HOT_ROWS = 1_000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows joined with groups, which has one row a key and its number of rows as n; no task gets a hot key's rows by an exchange."""
+    groups = durable(groups)
+    most = max(HOT_ROWS, (groups.agg(F.sum("n")).first()[0] or 0) // 1_000)
+    hot = groups.where(F.col("n") > most)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col("n") <= most), key)
+    return rows.join(F.broadcast(hot), key).select(*rest.columns).unionByName(rest)
+
+
 def remainder(doc_id: str, n: int) -> Column:
     """crc32(doc_id as text) mod n; of a null id, that of the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % n
 
 
+def small_star(edges: DataFrame) -> DataFrame:
+    """edges (u, v < u): the node's own edge goes to its least neighbour, its other neighbours follow it there."""
+    lower = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.join(lower, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+
+
 def classes(links: DataFrame) -> DataFrame:
     """(node, root) of each node of ``links`` (a, b): the least node it is connected with.
 
@@ -57,16 +76,13 @@ def classes(links: DataFrame) -> DataFrame:
     and one join, so a hub with very many neighbours is never gathered in one
     task.  The loop ends when a round changes no edge.
     """
-    edges = durable(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = durable(small_star(durable(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())))
     before = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        # the node's own edge goes to its least neighbour, the others follow it
-        small = large.join(lower, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = durable(small.distinct())
+        edges = durable(small_star(large))
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == before:
             break

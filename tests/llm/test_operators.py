@@ -358,9 +358,8 @@ def test_near_classes_of_a_large_group(spark):
 
 
 def test_near_classes_join_all_that_share_a_bucket(spark, monkeypatch):
-    # one bucket, one head and no neighbour: pairs of the other nodes only meet in the last step
-    monkeypatch.setattr(bagminhash, "BESIDE", 0)
-    monkeypatch.setattr(bagminhash, "BLOCK", 7, raising=False)
+    # one bucket with one head: pairs of the other nodes only meet in the last step, there in blocks of few nodes
+    monkeypatch.setattr(bagminhash, "NODES", 7)
     for turn in range(200):
         texts = []
         for k in range(6):
@@ -373,10 +372,48 @@ def test_near_classes_join_all_that_share_a_bucket(spark, monkeypatch):
         if len(signs) == 1:
             break
     assert len(signs) == 1
-    out = {r.doc_id: r.class_id for r in bagminhash.near_classes(rows(spark, texts), bands=1, rows=1, rounds=1).collect()}
+    out = {r.doc_id: r.class_id for r in bagminhash.near_classes(rows(spark, texts), bands=1, rows=1).collect()}
     assert out == {i: i // 3 * 3 for i in range(18)}
 
 
+def test_near_classes_of_variants_that_are_seldom_near(spark):
+    # variants of one text with three changed words each: most pairs are below 0.8, one head joins few of them
+    rng = np.random.default_rng(9)
+    base, texts = [f"b{i}" for i in range(150)], []
+    for k in range(700):
+        own = list(base)
+        for at in rng.choice(150, 3, replace=False):
+            own[at] = f"v{k}x{at}" if k % 2 else f"v{at}"
+        texts.append(" ".join(own))
+    sets = [set(zip(*[t.split()[i:] for i in range(5)], strict=False)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            shared = len(a & sets[j])
+            if shared >= 0.8 * (len(a) + len(sets[j]) - shared):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    all_joins = sum(find(i) != i for i in range(len(texts)))
+    out = {r.doc_id: r.class_id for r in bagminhash.near_classes(rows(spark, texts)).collect()}
+    assert all(find(i) == find(c) for i, c in out.items())  # no wrong join
+    joins = sum(i != c for i, c in out.items())
+    assert all_joins > 100 and joins >= 0.98 * all_joins
+
+
+def test_forest_counts_frequent_and_rare_elements():
+    rng = np.random.default_rng(1)
+    bags = [rng.choice(400, rng.integers(1, 120), replace=False).astype(np.int64) + (1000 * (k % 3) if k > 40 else 0) for k in range(90)]
+    flat, owner = np.concatenate(bags), np.repeat(np.arange(90), [len(x) for x in bags])
+    got = bagminhash.shared_counts(flat, owner, 90)
+    assert all(got[i, j] == len(set(bags[i]) & set(bags[j])) for i in range(90) for j in range(90) if i != j)
+
+
 def test_classes_are_connected_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
