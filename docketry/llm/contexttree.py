@@ -9,14 +9,19 @@ weighted probability is half its own plus half the product of its children's.
 The trained trees give a choice the mixture over all depths at which its
 context was seen, which is a proper distribution.
 
-Counts of (DEPTH+1)-byte grams cover all training texts: they are summed per
-task, then by key.  The trees are built from them by subtrees of two context
-bytes.  The nodes are broadcast; ``MOST_GRAMS`` bounds them: the deepest trees
-whose gram count, checked first, stays within it are used.
-
-The base score is that of single words with add-0.1 smoothing.  Words above a
-count threshold, picked so that at most ``MOST_FREQUENT`` are, are broadcast and
-summed with the text; only rarer words of each text are shuffled, by word.
+Counts of (DEPTH+1)-byte grams cover all training texts; those of other texts
+are listed with count 0.  They are summed per task, then by key, and dealt by
+their last two context bytes, so that a task holds whole subtrees.  Only the
+nodes where subtrees meet (at most 65,536 contexts of two bytes) pass the
+driver, which makes the two levels above; each task then gives every distinct
+gram of its subtrees its probability.  Nothing depends on the size of the input:
+DEPTH is the same for all, and no task or broadcast holds the model.
+
+The base score is that of single words with add-0.1 smoothing.  Words and grams
+above a count threshold, picked so that at most ``MOST_FREQUENT`` and
+``MOST_GRAMS`` are, are broadcast and summed with the text; the rarer ones of
+each text are shuffled by key and joined with their values, so that every one
+counts.
 
 Cases: null texts are empty: one end token.  Without training rows N, V and the
 counts are 0 and both scores use the smoothing alone (eight even choices a
@@ -37,8 +42,9 @@ from .arrays import LOWER, WHITE, Lookup, U, Words, by_slice, cuts, lists, utf8
 from .tables import durable, remainder
 
 DEPTH = 5
-MOST_GRAMS = 600_000
+MOST_GRAMS = 1 << 20
 MOST_FREQUENT = 1 << 18
+GRAMS_PER_TASK = 200_000
 TASK_KEYS = 2_000_000
 SMOOTHING = 0.1
 PART = 1 << 20  # bytes looked at at once
@@ -124,61 +130,42 @@ def levels(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, log_weighted:
             keys, zeros, ones, log_weighted = _grouped(up, zeros, ones, total)
 
 
-class Trees:
-    """nodes[d]: where the choices of contexts of d bytes are, their chance of a one and the share of their own estimate."""
-
-    def __init__(self, depth: int, parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.depth, self.nodes = depth, []
-        for d in range(depth + 1):
-            keys, chance, share = parts.pop(d)
-            order = np.argsort(keys)
-            self.nodes.append((keys[order], chance[order].astype(np.float32), share[order].astype(np.float32)))
-        self.known, self.value = Lookup(np.zeros(0, U)), np.zeros(0)
-
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the low byte of each gram after the bytes above it."""
-        total = np.zeros(len(grams))
-        symbol = grams & U(255)
-        for b in range(8):
-            choice = U(1 << b) | (symbol >> U(8 - b))
-            one = np.full(len(grams), 0.5)
-            seen = np.zeros(len(grams), bool)
-            for d in range(self.depth, -1, -1):
-                keys, chance, share = self.nodes[d]
-                wanted = (((grams >> U(8)) & U((1 << (8 * d)) - 1)) << U(8)) | choice
-                at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-                hit = keys[at] == wanted if len(keys) else seen & False
-                at = at[hit]
-                one[hit] = np.where(seen[hit], share[at] * chance[at] + (1 - share[at]) * one[hit], chance[at])
-                seen |= hit
-            total += np.log10(np.where((symbol >> U(7 - b)) & U(1) == 1, one, 1 - one))
-        return total
-
-    def scores(self, grams: np.ndarray) -> np.ndarray:
-        """As log10(), each distinct gram computed once and kept while there are fewer than 4 * MOST_GRAMS."""
-        at, hit = self.known.find(grams)
-        if not hit.all():
-            new = np.unique(grams[~hit])
-            keep = len(self.known.keys) < 4 * MOST_GRAMS
-            keys, value = np.concatenate([self.known.keys if keep else new[:0], new]), np.concatenate([self.value if keep else new[:0].astype(float), self.log10(new)])
-            order = np.argsort(keys, kind="stable")
-            self.known, self.value = Lookup(keys[order]), value[order]
-            at, hit = self.known.find(grams)
-            if not hit.all():
-                out = np.zeros(len(grams))
-                out[hit], out[~hit] = self.value[at[hit]], self.log10(grams[~hit])
-                return out
-        return self.value[at]
+Nodes = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def log10(grams: np.ndarray, depth: int, nodes: Nodes) -> np.ndarray:
+    """log10 of the probability of the low byte of each gram after the bytes above it.
+
+    nodes[d]: sorted choices of contexts of d bytes, their chance of a one and the share of their own estimate.
+    """
+    total = np.zeros(len(grams))
+    symbol = grams & U(255)
+    for b in range(8):
+        choice = U(1 << b) | (symbol >> U(8 - b))
+        one = np.full(len(grams), 0.5)
+        seen = np.zeros(len(grams), bool)
+        for d in range(depth, -1, -1):
+            keys, chance, share = nodes[d]
+            wanted = (((grams >> U(8)) & U((1 << (8 * d)) - 1)) << U(8)) | choice
+            at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+            hit = keys[at] == wanted if len(keys) else seen & False
+            at = at[hit]
+            one[hit] = np.where(seen[hit], share[at] * chance[at] + (1 - share[at]) * one[hit], chance[at])
+            seen |= hit
+        total += np.log10(np.where((symbol >> U(7 - b)) & U(1) == 1, one, 1 - one))
+    return total
 
 
 def _counted(depth: int):
-    """Distinct grams and words of a task with their counts: kind 0 grams, 1 words, 2 texts."""
+    """Distinct grams and words of a task with their counts in training texts: kind 0 grams, 1 words, 2 texts; grams of other texts have 0."""
 
     def merged(old: tuple[np.ndarray, np.ndarray] | None, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         made = np.unique(keys, return_counts=True)
         return made if old is None else _grouped(np.concatenate([old[0], made[0]]), np.concatenate([old[1], made[1]]))
 
     def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not kind:  # the low bit says whether the text is a training text
+            keys, n = _grouped(keys >> U(1), np.where(keys & U(1) == 1, n, 0))
         for i in range(0, len(keys), 100_000):
             part = keys[i : i + 100_000].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(n[i : i + 100_000].astype(np.int64))], ["kind", "key", "n"])
@@ -188,12 +175,14 @@ def _counted(depth: int):
         texts = 0
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            texts += len(batch)
+            train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
+            texts += int(train.sum())
             for i, j in cuts(offsets, PART):
                 own, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 found = Words(own, off, WHITE, LOWER)
-                codes, places, _ = modelled(own, off, found, depth)
-                grams, words = merged(grams, packed(codes, places, depth)), merged(words, found.hash)
+                codes, places, row = modelled(own, off, found, depth)
+                grams = merged(grams, (packed(codes, places, depth) << U(1)) | train[i:j][row].astype(U))
+                words = merged(words, found.hash[train[i:j][found.row]])
                 if len(grams[0]) > TASK_KEYS:  # part sums, so a task's memory is bounded
                     yield from rows(0, *grams)
                     grams = None
@@ -208,126 +197,134 @@ def _counted(depth: int):
     return run
 
 
-def _mask(d: int) -> int:
-    return (1 << (8 * (d + 1))) - 1
-
-
-def trees(grams: DataFrame, depth: int, most: int) -> Trees:
-    """The trees of grams(key, n), as deep as ``most`` distinct grams allow, ``depth`` at most."""
-    counts = grams.agg(*[F.approx_count_distinct(F.col("key").bitwiseAND(F.lit(_mask(d))), 0.01).alias(f"d{d}") for d in range(depth + 1)]).first()
-    deep = max(d for d in range(depth + 1) if d <= 1 or counts[d] <= most)
-    if deep < depth:
-        grams = grams.groupBy(F.col("key").bitwiseAND(F.lit(_mask(deep))).alias("key")).agg(F.sum("n").alias("n"))
-    stop = min(2, deep)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("key").to_numpy().view(U), b.column("n").to_numpy()) for b in batches if len(b)]
-        if not parts:
-            return
-        start = leaves(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]), deep)
-        for d, keys, zeros, ones, share, total in levels(*start, None, deep, stop):
-            chance = ((ones + 0.5) / (zeros + ones + 1.0)).astype(np.float32)
-            sums = np.stack([zeros, ones, total], axis=1).ravel() if d == stop else np.zeros(0)
-            for i in range(0, len(keys), 50_000):
-                s = slice(i, i + 50_000)
-                many = np.full(len(keys[s]), 3 if d == stop else 0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((keys[s] | U(d << 56)).view(np.int64)), pa.array(chance[s]), pa.array(share[s].astype(np.float32)), lists(sums[3 * i : 3 * (i + 50_000)], many, pa.float64())],
-                    ["key", "chance", "share", "sums"],
-                )
-
-    # a node is sent as its key with the depth above it, its chance and share; sums only where the subtrees meet
+def _parted(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [(b.column("key").to_numpy().view(U), b.column("n").to_numpy()) for b in batches if len(b)]
+    if not parts:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    return np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def values(grams: DataFrame, depth: int) -> DataFrame:
+    """(key, n, value) of grams(key, n): log10 of the probability of each gram's last byte, learned from the counts n."""
+    stop = min(2, depth)
     above = F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * stop)) - 1))
-    nodes = grams.repartition(F.xxhash64(above)).mapInArrow(build, "key long, chance float, share float, sums array<double>").toArrow()
-    keys, chance, share = (nodes.column(c).to_numpy() for c in ("key", "chance", "share"))
-    sums = nodes.column("sums").combine_chunks().flatten().to_numpy().reshape(-1, 3)
-    del nodes
-    keys = keys.view(U)
-    at = (keys >> U(56)).astype(np.int8)
-    parts = {d: (keys[at == d] & U((1 << 56) - 1), chance[at == d], share[at == d]) for d in range(stop, deep + 1)}
-    # the subtrees meet above two bytes of context: at most 65,536 * 255 choices, and within the bound above
+    tasks = max(int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions")), grams.count() // GRAMS_PER_TASK + 1)
+    dealt = durable(grams.repartition(tasks, F.xxhash64(above)))
+
+    def built(keys: np.ndarray, n: np.ndarray) -> Iterator[tuple]:
+        return levels(*leaves(keys[n > 0], n[n > 0], depth), None, depth, stop)
+
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d, keys, zeros, ones, _, total in built(*_parted(batches)):
+            if d == stop:
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(zeros.astype(np.int64)), pa.array(ones.astype(np.int64)), pa.array(total)], ["key", "zeros", "ones", "total"])
+
+    upper: Nodes = {}
     if stop:
-        keys = parts[stop][0]
+        # the subtrees meet above two bytes of context: at most 65,536 * 255 choices at any size of the input
+        met = dealt.mapInArrow(tops, "key long, zeros long, ones long, total double").toArrow()
+        keys, zeros, ones, total = (met.column(c).to_numpy() for c in ("key", "zeros", "ones", "total"))
+        keys = keys.view(U)
         up = (keys & U(255)) | (((keys >> U(8)) & U((1 << (8 * (stop - 1))) - 1)) << U(8))
-        for d, keys, zeros, ones, share, _ in levels(*_grouped(up, *sums[:, :2].T.astype(np.int64), sums[:, 2]), stop - 1, 0):
-            parts[d] = (keys, (ones + 0.5) / (zeros + ones + 1.0), share)
-    return Trees(deep, parts)
+        for d, keys, zeros, ones, share, _ in levels(*_grouped(up, zeros, ones, total), stop - 1, 0):
+            upper[d] = (keys, (ones + 0.5) / (zeros + ones + 1.0), share)
+    shared = grams.sparkSession.sparkContext.broadcast(upper)
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, n = _parted(batches)
+        nodes = dict(shared.value)
+        for d, keys, zeros, ones, share, _ in built(grams, n):
+            nodes[d] = (keys, (ones + 0.5) / (zeros + ones + 1.0), share)
+        for i in range(0, len(grams), 50_000):
+            part = grams[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(n[i : i + 50_000]), pa.array(log10(part, depth, nodes))], ["key", "n", "value"])
+
+    return durable(dealt.mapInArrow(valued, "key long, n long, value double"))
+
+
+def _frequent(rows: DataFrame, most: int) -> tuple[int, list]:
+    """The least power of two so that at most ``most`` rows(n) have that n or more, and (log2, rows, sum of n) of them by size."""
+    sizes = sorted(rows.where("n > 0").groupBy(F.floor(F.log2("n")).cast("int").alias("b")).agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect(), reverse=True)
+    least, room = 62, most
+    for r in sizes:
+        room -= r["rows"]
+        if room < 0:
+            break
+        least = r["b"]
+    return 1 << least, sizes
+
+
+def _sorted(rows: DataFrame, value: str) -> tuple[Lookup, np.ndarray]:
+    """A lookup of the keys of rows and their values, both in the driver: for few rows only."""
+    here = rows.select("key", value).toArrow()
+    keys = here.column("key").to_numpy().view(U)
+    order = np.argsort(keys)
+    return Lookup(keys[order]), here.column(value).to_numpy()[order]
+
+
+def _rare(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, times) of each distinct hash of each row."""
+    by = np.lexsort((hashes, row))
+    hashes, row = hashes[by], row[by]
+    heads = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1]))) if len(hashes) else np.zeros(0, np.int64)
+    return row[heads], hashes[heads], np.diff(np.append(heads, len(hashes)))
 
 
 def scores(docs: DataFrame, depth: int = DEPTH, most_grams: int = MOST_GRAMS, most_frequent: int = MOST_FREQUENT) -> DataFrame:
-    """Base and model scores of each row of docs(doc_id, text); rows whose crc32 of the id leaves 0 by 10 are held out."""
+    """Base and model scores of each row of docs(doc_id, text), with the code length in bits a modelled byte; rows whose crc32 of the id leaves 0 by 10 are held out."""
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = durable(texts.where(remainder("doc_id", 10) != 0).select("text").mapInArrow(_counted(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    flagged = texts.select("text", (remainder("doc_id", 10) != 0).alias("train"))
+    counted = durable(flagged.mapInArrow(_counted(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words = counted.where("kind = 1").select("key", "n")
-    # how many words have a count of 2^b or more
-    by_size = {r["b"]: r for r in words.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()}
+    threshold, sizes = _frequent(words, most_frequent)
     train_texts = counted.where("kind = 2").agg(F.sum("n")).first()[0] or 0
-    total = sum(r["n"] for r in by_size.values()) + train_texts
-    distinct = sum(r["words"] for r in by_size.values()) + (train_texts > 0)
-    least, room = 64, most_frequent
-    for b in sorted(by_size, reverse=True):
-        room -= by_size[b]["words"]
-        if room < 0:
-            break
-        least = b
-    threshold = 1 << min(least, 62)
-    frequent = words.where(F.col("n") >= threshold).toArrow()
-    order = np.argsort(frequent.column("key").to_numpy().view(U))
-    frequent_words = Lookup(frequent.column("key").to_numpy().view(U)[order], frequent.column("n").to_numpy()[order])
-    frequent_logs = np.log10(frequent.column("n").to_numpy()[order] + SMOOTHING)
-    model = trees(counted.where("kind = 0").select("key", "n"), depth, most_grams)
-    deep = model.depth
-    shared = context.broadcast((model, frequent_words, frequent_logs))
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(shared.value[0].log10(batch.column("key").to_numpy().view(U)))], ["key", "value"])
-
-    seen = counted.where("kind = 0").select(F.col("key").bitwiseAND(F.lit(_mask(deep))).alias("key")).distinct().mapInArrow(known, "key long, value double").toArrow()
-    order = np.argsort(seen.column("key").to_numpy().view(U))
-    seen_grams, seen_values = seen.column("key").to_numpy().view(U)[order], seen.column("value").to_numpy()[order]
-    values = context.broadcast((seen_grams, seen_values))
+    total = sum(r["n"] for r in sizes) + train_texts
+    distinct = sum(r["rows"] for r in sizes) + (train_texts > 0)
+    valued = values(counted.where("kind = 0").select("key", "n"), depth)
+    often, _ = _frequent(valued, most_grams)
+    shared = context.broadcast((_sorted(words.where(F.col("n") >= threshold).withColumn("log", F.log10(F.col("n") + SMOOTHING)), "log"), _sorted(valued.where(F.col("n") >= often), "value")))
     end_log, norm = math.log10(train_texts + SMOOTHING), math.log10(total + SMOOTHING * (distinct + 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, frequent_words, logs = shared.value
-        if not len(model.known.keys) and len(values.value[0]):
-            model.known, model.value = Lookup(values.value[0]), values.value[1]
-
-        def make(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-            rows = len(batch)
-            found = Words(data, offsets, WHITE, LOWER)
-            codes, places, row = modelled(data, offsets, found, deep)
-            score = np.bincount(row, model.scores(packed(codes, places, deep)), rows)
-            at, hit = frequent_words.find(found.hash)
-            n_words = np.bincount(found.row, minlength=rows)
-            sums = np.bincount(found.row[hit], logs[at[hit]], rows).astype(float) if len(logs) else np.zeros(rows)
-            rare, own = found.hash[~hit], found.row[~hit]
-            by = np.lexsort((rare, own))
-            rare, own = rare[by], own[by]
-            heads = np.flatnonzero(np.append(True, (rare[1:] != rare[:-1]) | (own[1:] != own[:-1]))) if len(rare) else np.zeros(0, np.int64)
-            times = np.diff(np.append(heads, len(rare)))
-            per_row = np.bincount(own[heads], minlength=rows)
-            return pa.RecordBatch.from_arrays(
-                [batch.column("at"), batch.column("doc_id"), pa.array(n_words + 1), pa.array(np.bincount(found.row[hit], minlength=rows)), pa.array(sums), pa.array(score), lists(rare[heads].view(np.int64), per_row, pa.int64()), lists(times, per_row, pa.int64())],
-                ["at", "doc_id", "n_tokens", "frequent", "sums", "score", "rare", "times"],
-            )
-
-        return by_slice(make, batches, size=PART)
+    def make(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        (known_words, logs), (known_grams, known_values) = shared.value
+        rows = len(batch)
+        found = Words(data, offsets, WHITE, LOWER)
+        codes, places, row = modelled(data, offsets, found, depth)
+        grams = packed(codes, places, depth)
+        at, hit = known_grams.find(grams)
+        score = np.bincount(row[hit], known_values[at[hit]], rows).astype(float) if len(known_values) else np.zeros(rows)
+        rare = [(0, *_rare(grams[~hit], row[~hit]))]
+        at, hit = known_words.find(found.hash)
+        sums = np.bincount(found.row[hit], logs[at[hit]], rows).astype(float) if len(logs) else np.zeros(rows)
+        rare.append((1, *_rare(found.hash[~hit], found.row[~hit])))
+        kind = np.concatenate([np.full(len(r), k, np.int32) for k, r, _, _ in rare])
+        own, key, times = (np.concatenate([x[i] for x in rare]) for i in (1, 2, 3))
+        order = np.argsort(own, kind="stable")
+        many = np.bincount(own, minlength=rows)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("at"), batch.column("doc_id"), pa.array(np.bincount(found.row, minlength=rows) + 1), pa.array(np.bincount(row, minlength=rows)), pa.array(np.bincount(found.row[hit], minlength=rows)), pa.array(sums), pa.array(score)]
+            + [lists(kind[order], many, pa.int32()), lists(key[order].view(np.int64), many, pa.int64()), lists(times[order], many, pa.int64())],
+            ["at", "doc_id", "n_tokens", "n_bytes", "frequent", "sums", "likely", "kind", "key", "times"],
+        )
 
     parts = durable(
         texts.withColumn("at", F.monotonically_increasing_id()).select("at", "doc_id", "text").mapInArrow(
-            run, "at long, doc_id long, n_tokens long, frequent long, sums double, score double, rare array<long>, times array<long>"
+            lambda batches: by_slice(make, batches, size=PART),
+            "at long, doc_id long, n_tokens long, n_bytes long, frequent long, sums double, likely double, kind array<int>, key array<long>, times array<long>",
         )
     )
-    rare = parts.select("at", F.inline(F.arrays_zip("rare", "times"))).withColumnRenamed("rare", "key")
-    rare = rare.join(words.where(F.col("n") < threshold), "key", "left").groupBy("at").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTHING)).alias("rare_sums"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("rare_known")
+    rarer = valued.where(F.col("n") < often).select(F.lit(0).alias("kind"), "key", "value")
+    rarer = rarer.unionByName(words.where(F.col("n") < threshold).select(F.lit(1).alias("kind"), "key", F.log10(F.col("n") + SMOOTHING).alias("value")))
+    rare = parts.select("at", F.inline(F.arrays_zip("kind", "key", "times"))).join(rarer, ["kind", "key"], "left")
+    share = F.col("times") * F.coalesce("value", F.lit(math.log10(SMOOTHING)))
+    rare = rare.groupBy("at").agg(
+        F.sum(F.when(F.col("kind") == 1, share)).alias("word_sums"), F.sum(F.when((F.col("kind") == 1) & F.col("value").isNotNull(), F.col("times"))).alias("rare_known"), F.sum(F.when(F.col("kind") == 0, share)).alias("gram_sums")
     )
-    return parts.drop("rare", "times").join(rare, "at", "left").select(
+    score = F.col("likely") + F.coalesce("gram_sums", F.lit(0.0))
+    return parts.drop("kind", "key", "times").join(rare, "at", "left").select(
         "doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens",
         (F.col("frequent") + F.coalesce("rare_known", F.lit(0)) + int(train_texts > 0)).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("sums") + F.coalesce("rare_sums", F.lit(0.0)) + end_log - F.col("n_tokens") * norm).alias("base_score"), "score",
+        (F.col("sums") + F.coalesce("word_sums", F.lit(0.0)) + end_log - F.col("n_tokens") * norm).alias("base_score"), score.alias("score"),
+        "n_bytes", (-score * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -501,7 +501,8 @@ def test_context_tree_matches_the_definition(spark):
     docs = rows(spark, texts, [1, 2, 3])
     assert all(zlib.crc32(str(i).encode()) % 10 for i in (1, 2, 3))
     for depth in (1, 2, 3):
-        out = {r.doc_id: r.score for r in contexttree.scores(docs, depth=depth).collect()}
+        # with and without grams that are broadcast
+        out = {r.doc_id: r.score for r in contexttree.scores(docs, depth=depth, most_grams=(0, 20, 1000)[depth - 1], most_frequent=depth).collect()}
         for i, t in zip((1, 2, 3), texts, strict=True):
             s = bytes([10] * depth) + t.encode() + b"\n"
             want = sum(plain_tree([x.encode() + b"\n" for x in texts], depth, s[k - depth : k + 1]) for k in range(depth, len(s)))
