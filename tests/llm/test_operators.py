@@ -283,6 +283,70 @@ def test_repeated_passages_hold_all_of_brute_force_beside_a_frequent_sentence(sp
     assert len(got) == 12
 
 
+def test_repeated_passages_beside_a_broken_copy(spark):
+    # A has a passage with every n-th word changed and another one; B both whole; C the first one whole
+    rng = np.random.default_rng(5)
+    fresh = lambda n: ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n)]
+    texts, want = [], []
+    for n in (15, 20, 25):
+        for _ in range(20):
+            p, q = fresh(60), fresh(60)
+            broken = [w if i % n else "changed" for i, w in enumerate(p)]
+            texts += [fresh(20) + broken + fresh(20) + q + fresh(20), fresh(20) + q + fresh(20) + p + fresh(20), fresh(30) + p + fresh(40)]
+            want.append(len(texts) - 1)
+    got = {}
+    for r in windows.repeated_passages(rows(spark, [" ".join(t) for t in texts])).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    assert all(set(range(30, 90)) <= got.get(d, set()) for d in want)
+
+
+def test_repeated_passages_that_are_only_alike(spark):
+    # one word in a passage of 50 to 90 changed, put in or left out: by brute force each is alike by 0.8 somewhere; 0.9 of them must be found
+    rng = np.random.default_rng(6)
+    fresh = lambda n: ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n)]
+    texts = []
+    for k in range(150):
+        p = fresh(int(rng.integers(50, 90)))
+        at = int(rng.integers(1, len(p) - 1))
+        q = p[:at] + ([fresh(1)[0]] + p[at + 1 :], p[at + 1 :], fresh(1) + p[at:])[k % 3]
+        texts += [fresh(30) + p + fresh(30), fresh(10) + q + fresh(50)]
+    found = {r.doc_id for r in windows.repeated_passages(rows(spark, [" ".join(t) for t in texts])).collect()}
+    sets = [[tuple(t[i : i + 5]) for i in range(len(t) - 4)] for t in texts]
+    alike = set()
+    for d in range(1, len(texts), 2):
+        x, y = sets[d], sets[d - 1]
+        # the best pair of equally long intervals of 46 to 90 shingles, by the places of the planted passages
+        for size in range(46, 87):
+            if any(len(a & b) >= 0.8 * len(a | b) for i in range(8, 16) for a, b in ((set(x[i : i + size]), set(y[i + 20 : i + 20 + size])),)):
+                alike.add(d)
+                break
+    assert len(alike) > 100 and len(alike & found) >= 0.9 * len(alike) and found <= set(range(1, len(texts), 2))
+
+
+def test_nearest_matches_a_plain_version():
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 256, 91).astype(np.uint8)
+    around = np.tile(base, (60, 1))
+    for k in range(60):
+        for at in rng.choice(91, rng.integers(0, 14), replace=False):
+            around[k, at] = rng.integers(1, 256)
+        around[k, : rng.integers(0, 30)] = 0
+    group, doc = np.sort(rng.integers(0, 4, 60)), np.arange(60)
+    got = set(windows.nearest(group, doc, around, 0.8))
+    want = set()
+    for t in range(60):
+        for spans in (range(24), range(22, 46)):
+            best = (0, 0)
+            for s in range(t):
+                if group[s] == group[t]:
+                    x, y = around[t], around[s]
+                    hit = [x[j] > 0 and any(0 <= j + d < 91 and x[j] == y[j + d] for d in (-1, 0, 1)) for j in range(91)]
+                    best = max(best, (max(sum(hit[a : a + 46]) for a in spans), -s))
+            if best[0] >= 41:
+                want.add((-best[1], t))
+    assert got == want and len(want) > 20
+
+
 def test_repeated_passages_odd_rows(odd, empty):
     assert {(r.doc_id, r.source_id) for r in windows.repeated_passages(odd).collect()} == {(7, 6)}
     assert windows.repeated_passages(empty).collect() == []
