@@ -309,3 +309,7 @@ def gate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, forms = classify(docs), dc.product_form(docs)
     paths = dc.canonical_paths(c.evidence, forms)
     return joined(dc.gate_candidates(c.candidates, paths, dc.assess_requirements(paths, forms, c.evidence), spark.sql(_REGULATIONS)), "reasons")
+
+
+# the other query modules register theirs on import
+from docketry import registry_facts  # noqa: E402, F401

@@ -27,6 +27,39 @@ SELECT CAST(p_partkey AS BIGINT) AS doc_id, 'org' || CAST(p_partkey % 5 AS VARCH
 FROM part
 """
 
+#: Data sheets whose lines hold the wording of facts, measures, markers and memory or key meanings of ECC.
+SHEETS = """
+SELECT CAST(p_partkey AS BIGINT) AS doc_id, 'org' || CAST(p_partkey % 5 AS VARCHAR(4)) AS org_id,
+  'Model: ' || replace(p_brand, '#', '-') || ' Part number: SX' || CAST(p_partkey AS VARCHAR(12)) || chr(10)
+  || CASE p_partkey % 9 WHEN 0 THEN 'Quad-core Arm Cortex-A53 with Mali-400 and Cortex-R5F' WHEN 1 THEN 'Cortex-M7 core at 800 MHz and Cortex-M4 core at 400 MHz' WHEN 2 THEN 'dual-core Cortex-A53 beside programmable logic and processing system'
+       WHEN 3 THEN 'Analog-to-digital converter sampling at up to 3 GSPS with lanes of 12.5 Gbps' WHEN 4 THEN 'Radio receiver with transmitter, greater than 2.4 GHz' WHEN 5 THEN '2 MB on-chip RAM and 128 KB TCM, 16 nm process' WHEN 6 THEN 'GPIO, timer, watchdog and System Monitor' WHEN 7 THEN 'Zynq MPSoC with FPGA fabric' ELSE 'Plain enclosure' END || chr(10)
+  || CASE p_partkey % 7 WHEN 0 THEN 'PCIe and Gigabit Ethernet controller' WHEN 1 THEN 'I2C, UART, SPI and CAN' WHEN 2 THEN 'DisplayPort and JTAG with USB 2.0' WHEN 3 THEN 'Ethernet' WHEN 4 THEN 'MIPI CSI, LCD interface, I2S audio and eMMC' WHEN 5 THEN 'PCI Express with PCIe switch' ELSE 'No interface listed' END || chr(10)
+  || CASE p_partkey % 11 WHEN 0 THEN 'HAB with secure boot and firmware signing' WHEN 1 THEN 'CAAM, PKHA and RNG4 with AES-128/256' WHEN 2 THEN '256-bit AES-GCM and 4096-bit RSA' WHEN 3 THEN 'Encrypted Boot, SNVS, ZMK and PUF' WHEN 4 THEN 'Inline Encryption Engine with key management' WHEN 5 THEN 'SHA-3/384 and SHA-2' ELSE 'No security block' END || chr(10)
+  || CASE p_partkey % 5 WHEN 0 THEN 'ECC on TCM' WHEN 1 THEN 'ECC-protected cache' WHEN 2 THEN 'ECC with ECDSA signature' WHEN 3 THEN 'ECC' ELSE 'DDR memory with ECC and parity' END || chr(10)
+  || 'Earlier codes ' || CASE p_partkey % 3 WHEN 0 THEN '3A001 and 3A001.b' WHEN 1 THEN '5A991' ELSE '5A002, 5A002 and 9Z999' END AS text
+FROM part
+"""
+
+#: Records of a tenant's history, in chunks of three a document, with the titles and lines that tell roles and polarities apart.
+RECORDS = """
+SELECT 'org' || CAST(c_custkey % 5 AS VARCHAR(4)) AS org_id, CAST(c_custkey AS BIGINT) AS chunk_id, CAST(c_custkey - c_custkey % 15 + c_custkey % 5 AS BIGINT) AS history_doc_id,
+  CAST(c_custkey % 15 AS INTEGER) AS chunk_ordinal, CAST(c_custkey AS BIGINT) AS created_at, CAST(1 + c_custkey % 30 % 2 AS INTEGER) AS ingestion_version, CAST(1 + c_custkey % 4 % 2 AS INTEGER) AS chunk_version,
+  CASE WHEN c_custkey % 15 < 13 THEN 'indexed' ELSE 'failed' END AS ingestion_status,
+  CASE c_custkey % 6 WHEN 0 THEN 'records.csv' WHEN 1 THEN 'readme.md' WHEN 2 THEN 'notes.txt' ELSE 'file.txt' END AS file_name,
+  CASE c_custkey % 8 WHEN 0 THEN 'Classification memo' WHEN 1 THEN 'Review worksheet' WHEN 2 THEN 'Data sheet' WHEN 3 THEN 'Outside counsel memo' WHEN 4 THEN 'Internal export policy' WHEN 5 THEN 'Upload instructions' ELSE 'Notes' END AS title,
+  CASE c_custkey % 13 WHEN 0 THEN 'prior_memo' WHEN 1 THEN 'review_note' WHEN 2 THEN 'datasheet' WHEN 3 THEN 'spreadsheet' WHEN 4 THEN 'regulatory_material' WHEN 5 THEN 'technical_source' ELSE 'other' END AS record_type,
+  'record_id: R' || CAST(c_custkey AS VARCHAR(12)) || chr(10) || 'product: SX' || CAST((c_custkey % 20) * 100 AS VARCHAR(12)) || chr(10)
+  || CASE c_custkey % 7 WHEN 0 THEN 'Ethernet switch with 100GbE ports and MACsec.' WHEN 1 THEN 'PCIe accelerator card for inference with HBM3 memory.' WHEN 2 THEN 'Secure boot is not available. Ethernet is included.'
+       WHEN 3 THEN 'Industrial gateway without secure boot' WHEN 4 THEN 'Radio module' WHEN 5 THEN 'case_id: C1' || chr(10) || 'TLS offload disabled' ELSE 'Rack server with https' END || chr(10)
+  || 'review_status: closed under ' || CASE c_custkey % 4 WHEN 0 THEN '5A002' WHEN 1 THEN '3A001.b and 5A991' WHEN 2 THEN 'no code' ELSE '5A992.c' END AS content
+FROM customer
+"""
+
+#: Current products that ask for matches: every hundredth part, as text and as lists joined by bars.
+ASKED = """
+SELECT doc_id AS query_id, org_id, text, 'SX' || CAST(doc_id AS VARCHAR(12)) AS identifiers, 'switch|module' AS families, 'pcie|secure boot|radio|ethernet' AS facts FROM briefs WHERE doc_id % 100 = 0
+"""
+
 #: Earlier documents of a tenant: the source is the tenant, the content is hashed, the id gives the time.
 HISTORY_DOCS = """
 SELECT source AS org_id, CAST(doc_id AS BIGINT) AS history_doc_id, 'b' || CAST(doc_id % 40 AS VARCHAR(4)) AS batch_id, lang AS record_type,
@@ -67,3 +100,18 @@ def history_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     views(spark, sf_dir, "orders")
     return spark.sql(RUNS)
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views(spark, sf_dir, "part")
+    return spark.sql(SHEETS)
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views(spark, sf_dir, "customer")
+    return spark.sql(RECORDS)
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    briefs(spark, sf_dir).createOrReplaceTempView("briefs")
+    return spark.sql(ASKED)
