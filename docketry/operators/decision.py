@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.functions.text import is_specific_code
 from docketry.operators.profiles import rule_table
 from docketry.rules import decision as rules
 
@@ -94,3 +95,8 @@ def candidate_transitions(gated: DataFrame, prior: DataFrame) -> DataFrame:
     now = gated.select("doc_id", "code", F.lit("deterministic_candidate_rules").alias("from_stage"), F.col("status").alias("to_status"), "reasons")
     gone = prior.join(gated, ["doc_id", "code"], "left_anti").distinct()
     return now.unionByName(gone.select("doc_id", "code", F.lit("backend_local_rules").alias("from_stage"), F.lit("withdrawn").alias("to_status"), F.array(F.lit("not_reproposed_by_canonical_path_rules")).alias("reasons")))
+
+
+def specific_candidates(candidates: DataFrame) -> DataFrame:
+    """(doc_id, code, path_key): candidates whose code has the full format, each (code, path) once."""
+    return candidates.where(is_specific_code(F.col("code"))).select("doc_id", "code", "path_key").distinct()

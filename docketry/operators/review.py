@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.functions.text import is_specific_code
 from docketry.operators.profiles import rule_table
 from docketry.rules import review as rules
 
@@ -107,3 +108,30 @@ def deletable(documents: DataFrame, runs: DataFrame) -> DataFrame:
     """Archived documents(doc_id, archived) without a run that is still queued or running."""
     active = runs.where(F.col("status").isin("queued", "running", "processing")).select("doc_id").distinct()
     return documents.where("archived").join(active, "doc_id", "left_anti").select("doc_id")
+
+
+def open_review_paths(paths: DataFrame) -> DataFrame:
+    """Paths(status) that no reviewer has resolved or excluded."""
+    return paths.where(~F.col("status").isin("resolved", "excluded_by_reviewer"))
+
+
+def execution_notice(runs: DataFrame) -> DataFrame:
+    """(run_id, notice) of runs(run_id, status, fallback_used, memo_validated, issues): the first rung of the ladder that holds."""
+    notice = (
+        F.when(F.col("fallback_used"), "fallback_used").when((F.col("status") != "completed") | ~F.col("memo_validated"), "verification_incomplete")
+        .when(F.col("issues") > 0, "expert_review_required").otherwise("ready")
+    )
+    return runs.select("run_id", notice.alias("notice"))
+
+
+def eligible_state(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(doc_id, state): review candidates, only others, or none."""
+    had = candidates.groupBy("doc_id").agg(F.bool_or(F.coalesce("candidate_type", F.lit("review_candidate")) == "review_candidate").alias("some"))
+    return docs.select("doc_id").join(had, "doc_id", "left").select("doc_id", F.when(F.col("some"), "eligible_candidates").when(F.col("some").isNotNull(), "blocked_or_unsupported_candidates").otherwise("no_eligible_candidates").alias("state"))
+
+
+def verified_candidates(candidates: DataFrame, regulations: DataFrame, mapped: DataFrame, cited: DataFrame) -> DataFrame:
+    """Candidates(doc_id, code, path_key, paragraph, has_criteria) with a valid code, a current regulation with version and date, a paragraph, criteria, a mapped fact and a citation."""
+    current = regulations.where("verification_status = 'current' AND version <> '' AND dated").select("code").distinct()
+    rows = candidates.where(is_specific_code(F.col("code")) & (F.coalesce("paragraph", F.lit("")) != "") & F.col("has_criteria")).join(F.broadcast(current), "code", "left_semi")
+    return rows.join(mapped, "doc_id", "left_semi").join(cited, "doc_id", "left_semi").select("doc_id", "code", "path_key")

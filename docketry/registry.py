@@ -231,7 +231,7 @@ def candidate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rw.candidate_groups(classify(views.briefs(spark, sf_dir)).candidates.withColumnRenamed("doc_id", "run_id"))
 
 
-_FILES = "SELECT CAST(l_suppkey AS BIGINT) AS batch_id, CAST(l_quantity * 150000 AS BIGINT) AS size_bytes FROM lineitem WHERE l_linenumber <= 3"
+_FILES = "SELECT CAST(l_suppkey * 1000 + l_partkey % 37 AS BIGINT) AS batch_id, CAST(l_quantity * 150000 AS BIGINT) AS size_bytes FROM lineitem"
 
 
 @query("check_batches", f"""SELECT batch_id, files, total_bytes, CASE WHEN files = 0 THEN 'no_files' WHEN files > 20 THEN 'too_many_files' WHEN total_bytes > 52428800 THEN 'batch_too_large' WHEN largest > 8388608 THEN 'file_too_large' ELSE 'ok' END AS verdict
@@ -298,12 +298,15 @@ def assess_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.assess_requirements(dc.canonical_paths(evidence, forms), forms, evidence)
 
 
-@query("gate_candidates", f"""SELECT c.doc_id, c.code, c.k AS path_key, CASE WHEN p.doc_id IS NULL THEN 'rejected' WHEN g.code IS NULL OR coalesce(n, 0) > 0 THEN 'blocked' ELSE 'eligible' END AS status,
+GATE = f"""SELECT c.doc_id, c.code, c.k AS path_key, CASE WHEN p.doc_id IS NULL THEN 'rejected' WHEN g.code IS NULL OR coalesce(n, 0) > 0 THEN 'blocked' ELSE 'eligible' END AS status,
       concat_ws('|', CASE WHEN p.doc_id IS NULL THEN 'review_path_not_open|no_positive_path_trigger_evidence' END, CASE WHEN g.code IS NULL THEN 'current_regulatory_text_unavailable' END, u.unmet) AS reasons
     FROM (SELECT *, CASE path_key {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in dr.ALIASES)} ELSE path_key END AS k FROM candidates) c
     LEFT JOIN ({_PATHS}) p ON p.doc_id = c.doc_id AND p.path_key = c.k LEFT JOIN (SELECT doc_id, path_key, count(*) AS n, string_agg(DISTINCT replace(requirement, ' ', '_') || '_unknown', '|' ORDER BY replace(requirement, ' ', '_') || '_unknown') AS unmet
       FROM ({_REQUIREMENTS}) WHERE NOT satisfied GROUP BY doc_id, path_key) u ON u.doc_id = c.doc_id AND u.path_key = c.k
-    LEFT JOIN ({_REGULATIONS}) g ON g.code = c.code AND g.verification_status = 'current'""")
+    LEFT JOIN ({_REGULATIONS}) g ON g.code = c.code AND g.verification_status = 'current'"""
+
+
+@query("gate_candidates", GATE)
 def gate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.briefs(spark, sf_dir)
     c, forms = classify(docs), dc.product_form(docs)
@@ -312,4 +315,4 @@ def gate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the other query modules register theirs on import
-from docketry import registry_facts  # noqa: E402, F401
+from docketry import registry_facts, registry_history  # noqa: E402, F401

@@ -24,7 +24,7 @@ def check_uploads(files: DataFrame) -> DataFrame:
         F.when(content.isNull() | (F.octet_length("content") == 0), "empty").when(~supported, "unsupported_type")
         .when(is_pdf & ((mime != "application/pdf") | (F.substring(content, 1, 5) != F.lit(b"%PDF-"))), "bad_signature")
         .when(~is_pdf & ~(mime.startswith("text/") | (mime == "application/json")), "not_text")
-        .when(~is_pdf & (F.position(F.lit("00"), F.regexp_replace(F.hex(F.substring(content, 1, 8192)), "(..)", "$1 ")) > 0), "binary_content").otherwise("ok")
+        .when(~is_pdf & (F.contains(F.substring(content, 1, 8192), F.lit(b"\x00"))), "binary_content").otherwise("ok")
     )
     return files.withColumn("verdict", verdict)
 
