@@ -186,5 +186,6 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier accepts.  A doc_id that repeats stays if one of its texts is accepted."""
-    bad = quality(docs, labels).groupBy("doc_id").agg(F.max("predicted").alias("best")).where("best = 0").select(F.col("doc_id").alias("bad"))
-    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("bad")), "left_anti").select(*docs.columns)
+    bad = quality(docs, labels).groupBy("doc_id").agg(F.max("predicted").alias("best")).where("best = 0").select("doc_id")
+    # each side through its alias: docs may have any other columns
+    return docs.alias("d").join(bad.alias("b"), F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")), "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])

@@ -1,18 +1,20 @@
 """HTML extraction by the maximum-scoring subsequence.
 
-A page is a sequence of tokens: tags, words, and their surroundings.  Each kind
-of token has a weight, positive where it speaks for content (words) and negative
-where it speaks against (tags); one linear scan finds the contiguous region of
-the highest sum.  The weights come from labelled pages: those that name their
-own content by an article or main element.  Words inside it and outside it are
-counted per surroundings (the nearest block element and whether a link, list,
-form or the like is open) over a sample of about ``SAMPLE_PAGES`` pages (the
-documented bound), and a token weighs the smoothed log odds of being inside.
-Without labelled pages, ``PRIOR`` holds.
-
-Within the region, elements whose name or class says that they are no content
-(menus, headers, footers, sidebars, notices, adverts, forms, comments) are left
-out with all they hold, as are scripts, styles and comments in the markup.
+A page is a sequence of tokens: tags and words.  Words weigh by what surrounds
+them, tags weigh against content; one linear scan finds the contiguous region of
+the highest sum, and that region is the content.  The weights come from labelled
+pages: those that name their own content by an article or main element, over a
+sample of about ``SAMPLE_PAGES`` pages (the documented bound).  A kind of token
+(running text, link, tag) weighs the smoothed log odds of being inside, and so
+does each feature of the open elements: names that carry meaning and each word
+of class, id and role.  So a class that no list knows counts against its words
+if labelled pages hold it outside.  A word weighs the sum for its kind and
+features, within ``MOST``.  Without labelled pages, ``PRIOR`` holds.
+
+The region is contiguous, but content may have holes: elements whose name or
+class says that they are no content (menus, headers, footers, sidebars, notices,
+adverts, forms, comments) are left out of it with all they hold, as are scripts,
+styles and comments in the markup.  Of regions of equal sum the first is taken.
 
 Cases: null html is empty and gives an empty text.  Markup that is cut off or
 never closed is read as far as it goes.  Rows that repeat a page_id are read
@@ -35,6 +37,9 @@ SAMPLE_PAGES = 2_000
 #: Weights without labelled pages: of a tag, of a word in running text, of one in a link, of a piece of an element that names itself no content.
 PRIOR = {"tag": -1.0, "text": 1.0, "link": -1.0, "aside": -1.0}
 
+#: A word weighs at most this, either way; a feature at most half of it.  Features seen in fewer words than FEW don't count.
+MOST, FEW = 4.0, 20
+
 # fixed values: element names and class words of the public HTML vocabulary
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROPPED = frozenset("script style noscript template svg math head title iframe object canvas audio video select textarea button".split())
@@ -45,6 +50,7 @@ _ASIDE = frozenset("nav aside footer form menu dialog fieldset".split())
 _ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related reply replies responses share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+_NAMED = frozenset("nav aside footer header form menu dialog fieldset p h1 h2 h3 h4 h5 h6 blockquote pre figure".split())
 _CONTENT = frozenset(("article", "main"))
 _CLOSED_BY = {"p": _BLOCKS - {"br"}, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
 
@@ -67,61 +73,87 @@ def _is_aside(name: str, attributes: str, inside_content: bool) -> bool:
     return False
 
 
-def pieces(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(kind, value, aside, labelled) of a page in order: kind is tag, break, text or link."""
-    open_: list[tuple[str, bool, bool, bool]] = []  # name, aside, link, labelled
+def _marks(name: str, attributes: str, above: frozenset) -> frozenset:
+    """The features of an element and of those it stands in."""
+    own = {name} if name in _NAMED else set()
+    if name not in ("html", "body", "article", "main"):
+        for m in _CLASS.finditer(attributes):
+            own.update("." + x for x in (m[1] or m[2] or m[3] or "").lower().split())
+    return above | own if own else above
+
+
+_NO_MARKS: frozenset = frozenset()
+
+
+def pieces(page: str) -> Iterator[tuple[str, str, bool, bool, frozenset]]:
+    """(kind, value, aside, labelled, features) of a page in order: kind is tag, break, text or link."""
+    top = ("", False, False, False, _NO_MARKS)
+    open_: list[tuple[str, bool, bool, bool, frozenset]] = []  # name, aside, link, labelled, features
+    depth: Counter = Counter()  # open elements of each name, so that a closing tag without one costs nothing
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
         name = (m[2] or "").lower()
-        _, aside, link, labelled = open_[-1] if open_ else ("", False, False, False)
+        _, aside, link, labelled, marks = open_[-1] if open_ else top
         if not name:
             if m[0][0] != "<" or m[0] == "<":
-                yield ("link" if link else "text"), html.unescape(m[0]), aside, labelled
+                yield ("link" if link else "text"), html.unescape(m[0]), aside, labelled, marks
             continue
         if m[1]:
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
-                    del open_[k:]
-                    break
+            if depth[name]:
+                while True:
+                    last = open_.pop()[0]
+                    depth[last] -= 1
+                    if last == name:
+                        break
         else:
             while open_ and name in _CLOSED_BY.get(open_[-1][0], ()):
-                open_.pop()
+                depth[open_.pop()[0]] -= 1
             if name in _DROPPED:
                 end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at) if not m[3].rstrip().endswith("/") or name in ("script", "style") else None
                 if end:
                     at = end.end()
                 elif name in ("script", "style"):
                     at = n
-                yield "tag", name, aside, labelled
+                yield "tag", name, aside, labelled, marks
                 continue
             if name not in _VOID and not m[3].rstrip().endswith("/"):
-                _, aside, link, labelled = open_[-1] if open_ else ("", False, False, False)
-                open_.append((name, aside or _is_aside(name, m[3], labelled), link or name == "a", labelled or name in _CONTENT))
-        yield ("break" if name in _BLOCKS else "tag"), name, (open_[-1][1] if open_ else False), (open_[-1][3] if open_ else False)
+                _, aside, link, labelled, marks = open_[-1] if open_ else top
+                open_.append((name, aside or _is_aside(name, m[3], labelled), link or name == "a", labelled or name in _CONTENT, _marks(name, m[3], marks)))
+                depth[name] += 1
+        now = open_[-1] if open_ else top
+        yield ("break" if name in _BLOCKS else "tag"), name, now[1], now[3], now[4]
 
 
 def features(page: str) -> tuple[Counter, Counter]:
-    """Tokens inside and outside of the labelled content; both empty for an unlabelled page."""
+    """Tokens inside and outside of the labelled content by kind, and words by feature; both empty for an unlabelled page."""
     inside, outside = Counter(), Counter()
-    for kind, value, aside, labelled in pieces(page):
-        key = "aside" if aside else ("tag" if kind == "break" else kind)
-        (inside if labelled else outside)[key] += len(_WORD.findall(value)) if key in ("text", "link") else 1
+    for kind, value, _, labelled, marks in pieces(page):
+        side = inside if labelled else outside
+        words = len(_WORD.findall(value)) if kind in ("text", "link") else 1
+        side["tag" if kind == "break" else kind] += words
+        if kind in ("text", "link"):
+            for mark in marks:
+                side[f"of {mark}"] += words
     return (inside, outside) if inside else (Counter(), Counter())
 
 
 def weights(inside: dict[str, int], outside: dict[str, int]) -> dict[str, float]:
-    """Log odds of each kind of token, smoothed; tags stay negative and plain words positive, as the scan needs."""
+    """Log odds of each kind of token and each feature, smoothed; tags stay negative and plain words positive, as the scan needs."""
     found = dict(PRIOR)
-    a, b = sum(inside.values()), sum(outside.values())
+    a, b = (sum(side.get(k, 0) for k in PRIOR) for side in (inside, outside))
     if a and b:
-        for kind in PRIOR:
-            found[kind] = math.log((inside.get(kind, 0) + 1) / (a + len(PRIOR))) - math.log((outside.get(kind, 0) + 1) / (b + len(PRIOR)))
-        found["text"] = max(found["text"], 0.1)
-        found["tag"] = min(found["tag"], -0.1)
+        odds = lambda k, n, m: math.log((inside.get(k, 0) + 1) / (n + len(PRIOR))) - math.log((outside.get(k, 0) + 1) / (m + len(PRIOR)))
+        for kind in ("tag", "text", "link"):
+            found[kind] = odds(kind, a, b)
+        found["text"] = min(max(found["text"], 0.1), MOST / 2)
+        found["tag"] = max(min(found["tag"], -0.1), -found["text"] / 2)  # a block of one word is worth the tags around it
         found["link"] = min(found["link"], found["text"])
-        found["aside"] = min(max(found["aside"], found["tag"]), -0.1)
+        words_a, words_b = (side.get("text", 0) + side.get("link", 0) for side in (inside, outside))
+        for k in {*inside, *outside}:
+            if k.startswith("of ") and inside.get(k, 0) + outside.get(k, 0) >= FEW:
+                found[k] = min(max(odds(k, words_a, words_b), -MOST / 2), MOST / 2)
     return found
 
 
@@ -130,10 +162,15 @@ def extract(page: str | None, weight: dict[str, float]) -> str:
     run = list(pieces(page or ""))
     best = (0.0, 0, 0)
     total, start = 0.0, 0
-    for i, (kind, value, aside, _) in enumerate(run):
+    known: dict[tuple[str, frozenset], float] = {}
+    for i, (kind, value, aside, _, marks) in enumerate(run):
         if kind in ("text", "link"):
-            # what is left out anyway weighs as little as a tag, so that it parts no content
-            total += weight["aside"] if aside else weight[kind] * len(_WORD.findall(value))
+            if aside:
+                total += weight["aside"]  # what is left out anyway parts no content
+            else:
+                if (kind, marks) not in known:
+                    known[kind, marks] = min(max(weight[kind] + sum(weight.get(f"of {m}", 0.0) for m in marks), -MOST), MOST)
+                total += known[kind, marks] * len(_WORD.findall(value))
         else:
             total += weight["tag"]
         if total <= 0:
@@ -147,7 +184,7 @@ def extract(page: str | None, weight: dict[str, float]) -> str:
         start -= 1
     while end < len(run) and run[end][0] != "break":
         end += 1
-    for kind, value, aside, _ in run[start:end]:
+    for kind, value, aside, _, _ in run[start:end]:
         if kind == "break":
             blocks.append("".join(block))
             block = []

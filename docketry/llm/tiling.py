@@ -193,5 +193,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST, cover
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that hold no leak; rows with a null id stay only if no such row holds one."""
-    bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("leaking")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("leaking")), "left_anti").select(*docs.columns)
+    bad = leaks(docs, benchmark, **options).select("doc_id").distinct()
+    # each side through its alias: docs may have any other columns
+    return docs.alias("d").join(bad.alias("b"), F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")), "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])

@@ -192,6 +192,30 @@ def test_regions_take_the_article(spark, small):
         assert out[r.page_id].text == "\n".join(x for x in want if x) and out[r.page_id].n_chars == len(out[r.page_id].text)
 
 
+def test_regions_scan_leaves_out_what_no_list_names(spark):
+    # menus and footers by classes that no list knows, learned from pages that label their article
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    pages, want = [], []
+    for k in range(60):
+        blocks = [line(30) for _ in range(4)]
+        body = f"<h1>{line(2)}</h1>" + "".join(f"<p>{b}</p>" for b in blocks)
+        tag = "article" if k < 40 else "div"
+        pages.append((k, "u", f"<html><body><div class='zq17'>{line(25)}</div><div class='zq18'><div>{line(12)}</div></div><{tag}>{body}</{tag}><div id='vv3'>{line(40)}</div></body></html>"))
+        want.append(re.sub("<[^>]*>", "\n", body))
+    for r in regions.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect():
+        assert r.text.split("\n") == [x for x in want[r.page_id].split("\n") if x], r.page_id
+
+
+def test_regions_unmatched_tags_are_linear():
+    import time
+
+    start = time.time()
+    regions.extract("<p>x" + "<div>" * 12_000 + "</b>" * 12_000, dict(regions.PRIOR))
+    assert time.time() - start < 2
+
+
 def test_regions_odd_pages(spark):
     body = "<p>" + "good words here " * 30 + "</p>"
     pages = {
