@@ -518,11 +518,44 @@ def test_licenses_found_and_contained(spark, docs, texts):
     out = licenses.licenses(docs).collect()
     for name, line in (("MIT", "Released under the MIT License"), ("Apache-2.0", "Licensed under the Apache License, Version 2.0"), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0")):
         assert {r.doc_id for r in out if r.license == name} == {d for d, t in texts.items() if line in t}
-    for name, line in licenses.TEMPLATES:
+    made, want = [], []
+    for k, (name, line) in enumerate(licenses.TEMPLATES):
         for before in (0, 1, 5, 11, 40):
-            got = licenses.licenses(rows(spark, ["z " * before + line.upper() + " tail" * 9])).collect()
-            assert name in {r.license for r in got}, (name, before)
-        break
+            made.append("z " * before + line.upper() + " tail" * 9)
+            want.append((name, k, before))
+    got = {}
+    for r in licenses.licenses(rows(spark, made)).collect():
+        got.setdefault(r.doc_id, set()).add((r.license, r.template, r.start))
+    assert all(w in got[d] for d, w in enumerate(want))
+
+
+def test_licenses_of_damaged_and_repeated_notices_match_brute_force(spark):
+    rng = np.random.default_rng(12)
+    split = lambda t: [w for w in re.split("[^a-z0-9\x80-\U0010ffff]+", t.lower()) if w]
+    words = [split(t) for _, t in licenses.TEMPLATES]
+    texts = []
+    for k, own in enumerate(words):
+        for share in (0.0, 0.02, 0.05):
+            hurt = [w if rng.random() >= share else "zz" for w in own]
+            texts.append(" ".join(["q"] * int(rng.integers(0, 60)) + hurt + ["y"] * 250 + own + ["x"] * 20))
+    runs = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    got = {}
+    for r in licenses.licenses(rows(spark, texts)).collect():
+        got.setdefault((r.doc_id, r.template), []).append((r.start, r.end, r.containment))
+    found = total = 0
+    for d, t in enumerate(texts):
+        own = split(t)
+        end = own.index("y")
+        k = d // 3
+        for lo, hi in ((0, end), (end, len(own))):
+            share = len(runs(words[k]) & runs(own[lo:hi])) / len(runs(words[k]))
+            some = [x for x in got.get((d, k), []) if lo <= x[0] < hi]
+            if share >= 0.8:
+                total += 1
+                found += any(abs(x[2] - share) < 1e-9 for x in some)
+            else:
+                assert not some, (d, lo)
+    assert total > 50 and found >= 0.99 * total
 
 
 def test_licenses_odd_rows(odd, empty, spark):
