@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.rules import review as rules
 
+WHITE = " \t\n\x0b\f\r"
+
 
 def mark_duplicates(docs: DataFrame) -> DataFrame:
     """docs(org_id, history_doc_id, text, created_at) with sha256 and duplicate_of: the earliest document of the same tenant and content.
@@ -40,35 +38,40 @@ def batch_status(docs: DataFrame) -> DataFrame:
     return counted.withColumn("completed", completed).withColumn("status", status)
 
 
-def _chunks(text: str) -> list[tuple[int, int, int, str, str]]:
-    """(ordinal, start, end, content, hash): each chunk starts where the one before ended, less the overlap."""
-    text = text.replace("\r\n", "\n").strip()
-    made, start, ordinal = [], 0, 0
-    while start < len(text):
-        end = min(len(text), start + rules.CHUNK_SIZE)
-        if end < len(text):
-            line = text.rfind("\n", 0, end + 1)
-            end = line if line > start + rules.CHUNK_LEAST else end
-        content = text[start:end].strip()
-        if content:
-            made.append((ordinal, start, start + len(content), content, hashlib.sha256(content.encode()).hexdigest()))
-        if end >= len(text):
-            break
-        start, ordinal = max(end - rules.CHUNK_OVERLAP, start + 1), ordinal + 1
-    return made
-
-
-def chunk_text(docs: DataFrame) -> DataFrame:
-    """docs(history_doc_id, text) to (history_doc_id, ordinal, char_start, char_end, content, content_hash)."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["history_doc_id", "ordinal", "char_start", "char_end", "content", "content_hash"]
-        for part in parts:
-            for i in range(0, len(part), 500):
-                some = part.iloc[i : i + 500]
-                yield pd.DataFrame([(d, *c) for d, t in zip(some["history_doc_id"], some["text"], strict=True) for c in _chunks(t or "")], columns=names)
-
-    return docs.select("history_doc_id", "text").mapInPandas(run, "history_doc_id long, ordinal int, char_start int, char_end int, content string, content_hash string")
+def chunk_text(docs: DataFrame, size: int = rules.CHUNK_SIZE, overlap: int = rules.CHUNK_OVERLAP, least: int = rules.CHUNK_LEAST) -> DataFrame:
+    """docs(history_doc_id, text) to (history_doc_id, ordinal, char_start, char_end, content, content_hash).
+
+    The bounds of a text are one fold: the next chunk opens ``overlap`` characters
+    before the last bound; a bound moves back to the last line end of the chunk's
+    rear part, if there is one.  Chunks without content keep their ordinal.
+    """
+    text = F.trim(F.replace(F.coalesce("text", F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit(WHITE))
+    rows = docs.select("history_doc_id", text.alias("body")).withColumn("n", F.length("body")).where("n > 0")
+
+    def span(start: Column) -> Column:
+        full = start + size
+        # the rear part, read backwards: how far its last line end is from the bound
+        back = F.instr(F.reverse(F.substring(F.col("body"), start + least + 2, F.lit(size - least))), "\n")
+        return F.struct(start.alias("start"), F.when(full >= F.col("n"), F.col("n")).when(back > 0, full + 1 - back).otherwise(full).cast("int").alias("stop"))
+
+    def longer(made: Column, _: Column) -> Column:
+        stop = F.element_at(made, -1)["stop"]
+        opened = F.greatest(stop - overlap, F.element_at(made, -1)["start"] + 1)
+        return F.when(stop >= F.col("n"), made).otherwise(F.concat(made, F.array(span(opened))))
+
+    turns = F.sequence(F.lit(1), F.ceil(F.col("n") / (least + 1 - overlap)).cast("int"))
+    spans = F.aggregate(turns, F.array(span(F.lit(0))), longer)
+    cut = rows.select("history_doc_id", "body", F.posexplode(spans).alias("ordinal", "span"))
+    content = F.trim(F.substring(F.col("body"), F.col("span.start") + 1, F.col("span.stop") - F.col("span.start")), F.lit(WHITE))
+    cut = cut.select("history_doc_id", "ordinal", F.col("span.start").alias("char_start"), content.alias("content")).where("content <> ''")
+    return cut.select("history_doc_id", "ordinal", "char_start", (F.col("char_start") + F.length("content")).alias("char_end"), "content", F.sha2("content", 256).alias("content_hash"))
+
+
+def memo_sections(memos: DataFrame) -> DataFrame:
+    """(run_id, ordinal, key, content) of memos(run_id, markdown), parted at headings of level two; what stands before them is the root."""
+    parts = memos.select("run_id", F.posexplode(F.split(F.coalesce("markdown", F.lit("")), r"\n##\s+")).alias("ordinal", "part"))
+    root = F.col("ordinal") == 0
+    return parts.select("run_id", "ordinal", F.when(root, "root").otherwise(F.trim(F.substring_index("part", "\n", 1))).alias("key"), F.when(root, F.col("part")).otherwise(F.concat(F.lit("## "), "part")).alias("content"))
 
 
 def _tokens(column: str) -> Column:

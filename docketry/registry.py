@@ -150,7 +150,19 @@ def workspace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hs.workspace_counts(views.history_docs(spark, sf_dir))
 
 
-@query("chunk_text")
+_CHUNKS = f"""WITH RECURSIVE body AS (SELECT history_doc_id, trim(replace(text, chr(13) || chr(10), chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM ({views.HISTORY_DOCS})),
+  bound AS (SELECT history_doc_id, t, 0 AS ordinal, 0 AS s, {{stop0}} AS e FROM body WHERE length(t) > 0
+    UNION ALL SELECT history_doc_id, t, ordinal + 1, n, {{stopn}} FROM (SELECT *, greatest(e - {rv.CHUNK_OVERLAP}, s + 1) AS n FROM bound WHERE e < length(t)))
+  SELECT history_doc_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(s AS INTEGER) AS char_start, CAST(s + length(c) AS INTEGER) AS char_end, c AS content, sha256(c) AS content_hash
+    FROM (SELECT *, trim(substr(t, s + 1, e - s), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS c FROM bound) WHERE c <> ''"""
+
+
+def _stop(s: str) -> str:
+    back = f"strpos(reverse(substr(t, {s} + {rv.CHUNK_LEAST + 2}, {rv.CHUNK_SIZE - rv.CHUNK_LEAST})), chr(10))"
+    return f"CASE WHEN {s} + {rv.CHUNK_SIZE} >= length(t) THEN length(t) WHEN {back} > 0 THEN {s} + {rv.CHUNK_SIZE + 1} - {back} ELSE {s} + {rv.CHUNK_SIZE} END"
+
+
+@query("chunk_text", _CHUNKS.format(stop0=_stop("0"), stopn=_stop("n")))
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hs.chunk_text(views.history_docs(spark, sf_dir))
 
@@ -315,4 +327,4 @@ def gate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the other query modules register theirs on import
-from docketry import registry_facts, registry_history  # noqa: E402, F401
+from docketry import registry_checks, registry_facts, registry_history  # noqa: E402, F401

@@ -42,14 +42,26 @@ RATE_SCHEMA = "key string, ts double, allowed boolean, retry_seconds int, late b
 
 
 def rate_limit(events: DataFrame, limit: int, window: float) -> DataFrame:
-    """Batch form over events(key, ts): one row an event."""
+    """Batch form over events(key, ts): one row an event.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ts", kind="stable")
-        made, _, _ = limited(group["ts"].tolist(), limit, window)
-        return pd.DataFrame({"key": group["key"].to_numpy(), "ts": group["ts"].to_numpy(), "allowed": [m[0] for m in made], "retry_seconds": [m[1] for m in made], "late": [m[2] for m in made]})
+    Events are dealt by key and walked in order of time; only the open window's
+    start and count of one key are carried from batch to batch, so a key of any
+    size is never gathered.
+    """
 
-    return events.select(F.col("key").cast("string").alias("key"), F.col("ts").cast("double").alias("ts")).groupBy("key").applyInPandas(run, RATE_SCHEMA)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, start, count = None, None, 0
+        for part in parts:
+            made = []
+            for key, some in part.groupby("key", sort=False, dropna=False):
+                if key != last:
+                    last, start, count = key, None, 0
+                out, start, count = limited(some["ts"].tolist(), limit, window, start, count)
+                made += out
+            yield part.assign(allowed=[m[0] for m in made], retry_seconds=[m[1] for m in made], late=[m[2] for m in made])
+
+    rows = events.select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"), F.col("ts").cast("double").alias("ts"))
+    return rows.repartition("key").sortWithinPartitions("key", "ts").mapInPandas(run, RATE_SCHEMA)
 
 
 def stream_rate_limit(events: DataFrame, limit: int, window: float) -> DataFrame:
