@@ -19,10 +19,13 @@ def test_flagship_runs(spark):
     assert {"doc_id", "profile", "score"} == set(rows[0].asDict()) and len({r.profile for r in rows}) > 5
 
 
-@pytest.mark.parametrize("name", ["primary_profile", "open_paths", "mark_duplicates", "check_transitions", "audit_log"])
+@pytest.mark.parametrize("name", [
+    "primary_profile", "open_paths", "mark_duplicates", "check_transitions", "audit_log", "drop_generic_facts", "capability_signals", "extract_markers", "text_previews",
+    "score_matches", "role_pools", "check_projection", "history_detail", "check_uploads", "content_key", "completion_status", "memo_versions", "mentions", "document_role", "memo_sections", "chunk_text",
+])
 def test_oracles_agree(spark, name):
     con = duckdb.connect()
-    for table in ("part", "documents", "orders", "lineitem", "events"):
+    for table in ("part", "documents", "orders", "lineitem", "events", "customer"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     ours = QUERIES[name](spark, SMALL)
     columns = sorted(ours.columns)
