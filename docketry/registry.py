@@ -253,7 +253,14 @@ def check_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return up.check_batches(spark.sql(_FILES))
 
 
-@query("rate_limit")
+_LIMITED = """WITH RECURSIVE numbered AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(CAST(ts AS TIMESTAMP)) / 1e6 AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+  walked AS (SELECT key, ts, i, ts AS since, 1 AS n, true AS allowed, 0 AS retry_seconds FROM numbered WHERE i = 1
+    UNION ALL SELECT w.key, e.ts, e.i, CASE WHEN e.ts >= since + 3600 THEN e.ts ELSE since END, CASE WHEN e.ts >= since + 3600 THEN 1 WHEN n >= 3 THEN n ELSE n + 1 END, e.ts >= since + 3600 OR n < 3,
+      CASE WHEN e.ts >= since + 3600 OR n < 3 THEN 0 ELSE CAST(greatest(1, ceil(since + 3600 - e.ts)) AS INTEGER) END FROM walked w JOIN numbered e ON e.key = w.key AND e.i = w.i + 1)
+  SELECT key, ts, allowed, retry_seconds, false AS late FROM walked"""
+
+
+@query("rate_limit", _LIMITED)
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     views.views(spark, sf_dir, "events")
     return jobs.rate_limit(spark.sql("SELECT CAST(user_id AS STRING) AS key, unix_micros(CAST(ts AS TIMESTAMP)) / 1e6 AS ts FROM events"), 3, 3600.0)
