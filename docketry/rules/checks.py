@@ -36,3 +36,23 @@ DOCUMENT_ROLES = (
     ("classification_memo", r"\b(?:classification memo|prior classification)\b", ""),
     ("multi_product_catalog", r"\b(?:catalog|product index|comparison matrix)\b", ""),
 )
+
+SPECIFICATION = (
+    r"(?i)(?:\b\d+(?:\.\d+)?\s*(?:[KMGTPE]?B|bits?|bytes?|GHz|MHz|Gbps|GbE|GSPS|TOPS|TFLOPS|W|V|nm)\b|"
+    r"\b(?:HBM\d*[A-Z]*|DDR\d+|PCIe\s*(?:Gen)?\d+(?:\s*x\d+)?|ARM\s+Cortex-[A-Z]\d+|(?:Wi-?Fi|BLE|Bluetooth)\s*\d(?:\.\d+)?|NVMe|AES-?\d+|RSA-?\d+)\b)"
+)
+HISTORY_ID_WITHIN = r"(?i)\b(?:[A-Z]{2,12}-)?(?:19|20)\d{2}-\d{2,8}\b|\b(?:CASE|CLASS|MEMO|REV)[-_]?\d{2,8}\b"
+RECORD_NUMBER = r"(?i)^[A-Z][A-Z0-9-]{3,}$"
+LISTED, ENUMERATED = r"^\s*(?:\d+[.)]|[-*])\s*", r"^\d+[.)]\s*"
+KEYED = r"^\s*([A-Za-z][A-Za-z /_-]{1,48})\s*:\s*(.+?)\s*$"
+TABLE_SUBJECT = r"(?i)\b(?:product|model|part number|device)\b"
+SECTION = r"(?i)\b(?:product|model|part number|device)\s*:\s*([^\n]*)"
+CONTAINMENT = RELATIONS[0][1]
+TECHNICAL = r"(?i)\b(?:datasheet|technical specification|ethernet|interface|processor|firmware|throughput|frequency|voltage)\b"
+SOURCE_WORDS = r"(?i)\b(?:datasheet|technical specification)\b"
+#: relations that a document merely refers to
+REFERRED = (
+    "comparison_reference", "history_reference", "predecessor_reference", "successor_reference", "competitor_reference",
+    "example_reference", "included_component", "compatible_product", "instruction_reference",
+)
+NON_PRODUCT_ROLES = ("test_manifest", "readme", "internal_policy", "counsel_guidance")

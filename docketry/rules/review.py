@@ -25,3 +25,4 @@ EXTENSIONS = ("pdf", "txt", "md", "csv", "json")
 MIME_TYPES = ("application/pdf", "text/plain", "text/markdown", "text/csv", "application/json")
 
 CHUNK_SIZE, CHUNK_OVERLAP, CHUNK_LEAST = 1200, 180, 660
+MAX_TEXT_CHARS = 1_000_000
