@@ -131,3 +131,20 @@ DEFAULT_PROFILES = (
     ("fpga_programmable_logic_soc", "medium", ("zynq", "mpsoc", "programmable logic", "fpga")),
     ("rf_transceiver", "low", ("rf transceiver", "receiver", "transmitter")),
 )
+
+MANUFACTURERS = (
+    "Texas Instruments", "Analog Devices", "ADI", "Intel", "AMD", "Xilinx", "NXP", "Microchip", "Renesas", "Infineon", "onsemi", "STMicroelectronics",
+    "Qorvo", "Skyworks", "Broadcom", "Lattice", "Teledyne", "Marvell", "Semtech", "Maxim Integrated",
+)
+MAKER_BOILERPLATE = (
+    "creating an environment where employees", "removing noninclusive language", "consequential damages", "expressly advised", "warranty", "liability", "terms and conditions",
+)
+MAKER_SHEET = ("zynq ultrascale+ mpsoc", "product specification", "data sheet", "datasheet")
+MAKER_NOTICE = ("copyright", "©", "(c)", "xilinx, inc", "advanced micro devices")
+MAKER_SPELLING = (("xilinx", "Xilinx"), ("amd", "AMD"))
+MAKER_TOP, MAKER_EARLY, MAKER_AROUND, MAKER_SURE = 2500, 3000, 220, 20
+REVISION = r"\bJESD204([ABC])?\b"
+REVISION_NOTE = r"(?im)^.*(?:jesd204b|jesd204a).*(?:compatible|receiver|subclass).*$"
+REVISION_AROUND = 180
+PROFILE_FACTS = ("product_profile", "profile_confidence", "profile_rationale", "secondary_product_profile")
+PROFILE_SNIPPET = "Detected from normalized technical facts and source text."
