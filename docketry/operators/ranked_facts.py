@@ -41,14 +41,16 @@ def rank_manufacturer(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit("")).alias("body")).withColumn("top", F.substring("body", 1, rules.MAKER_TOP))
 
     def best(c: str) -> Column:
-        def scored(m: Column) -> Column:
+        def seen(m: Column) -> Column:
             near = tx.context_at(F.col(c), m["start"], m["stop"], rules.MAKER_AROUND)
-            line = tx.line_at(F.col(c), m["start"], m["stop"])
-            less = F.when(tx.contains_any(near, rules.MAKER_SHEET), 35).otherwise(0) + F.when(tx.contains_any(near, rules.MAKER_NOTICE), 10).otherwise(0) + F.when(m["start"] < rules.MAKER_EARLY, 8).otherwise(0)
-            weak = tx.contains_any(F.lower(line), rules.MAKER_BOILERPLATE) | tx.contains_any(near, rules.MAKER_BOILERPLATE)
-            return F.struct((50 - less).alias("score"), m["start"].alias("start"), m["name"].alias("name"), line.alias("line"), weak.alias("weak"))
+            return F.struct(m["start"].alias("start"), m["name"].alias("name"), near.alias("near"), tx.line_at(F.col(c), m["start"], m["stop"]).alias("line"))
+
+        def scored(m: Column) -> Column:
+            less = F.when(tx.contains_any(m["near"], rules.MAKER_SHEET), 35).otherwise(0) + F.when(tx.contains_any(m["near"], rules.MAKER_NOTICE), 10).otherwise(0) + F.when(m["start"] < rules.MAKER_EARLY, 8).otherwise(0)
+            return F.struct((50 - less).alias("score"), m["start"].alias("start"), m["name"].alias("name"), m["line"].alias("line"))
 
-        return F.array_min(F.filter(F.transform(F.col(f"{c}_spans"), scored), lambda s: ~s["weak"]))
+        weak = lambda m: tx.contains_any(F.lower(m["line"]), rules.MAKER_BOILERPLATE) | tx.contains_any(m["near"], rules.MAKER_BOILERPLATE)
+        return F.array_min(F.transform(F.filter(F.transform(F.col(f"{c}_spans"), seen), lambda m: ~weak(m)), scored))
 
     rows = rows.withColumns({"top_spans": spans(F.col("top"), names), "body_spans": spans(F.col("body"), names)})
     rows = rows.select("doc_id", F.coalesce(best("top"), best("body")).alias("m")).where("m IS NOT NULL")

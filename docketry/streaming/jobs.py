@@ -8,8 +8,10 @@ from math import ceil
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docketry.operators import chunking as ch
 from docketry.rules import review as rules
 
 
@@ -91,7 +93,25 @@ def stream_transitions(events: DataFrame) -> DataFrame:
                 out.append((key[0], seq, last, status, not late and (last, status) in allowed, late))
             if not late:
                 last, seen = status, seq
-        state.update((last, int(seen)))
+        state.update((last, None if seen is None else int(seen)))
         yield pd.DataFrame(out, columns=["run_id", "seq", "from_status", "to_status", "allowed", "late"])
 
     return events.groupBy("run_id").applyInPandasWithState(run, "run_id long, seq long, from_status string, to_status string, allowed boolean, late boolean", "last string, seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_ingest(queue: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Ingests queued documents of a stream, a micro-batch at a time, with the batch functions; ends when the source is read up.
+
+    queue has the columns that ingested() takes, and ingestion_version.  Outcomes and chunks are written as one folder
+    a batch, so a batch that is run again replaces its own rows and no chunk is there twice.
+    Duplicates are found within a batch; stream_dedupe() before this finds those across batches.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        docs = batch.where("ingestion_status = 'queued'")
+        done, chunks, _ = ch.ingest_history(docs)
+        versions = docs.select("history_doc_id", "ingestion_version")
+        done.drop("text").write.mode("overwrite").parquet(f"{path}/documents/batch={n}")
+        chunks.join(versions, "history_doc_id").write.mode("overwrite").parquet(f"{path}/chunks/batch={n}")
+
+    return queue.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

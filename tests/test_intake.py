@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 
 from docketry.operators import chunking as ch
 from docketry.operators import entities as en
+from docketry.streaming import jobs
 
 TEXTS = "history_doc_id long, text string"
 
@@ -71,3 +72,15 @@ def test_relations_depend_on_the_subjects_before(spark):
     assert ties[1, "nx110"] == ("predecessor_reference", "nx120") and ties[1, "CASE-5678"] == ("history_reference", "nx120") and ties[2, "bx2"] == ("secondary_subject", None)
     state = {r.doc_id: r.state for r in en.qualify(docs, en.owned_evidence(found, docs)).collect()}
     assert state == {0: "single_product_insufficient_evidence", 1: "single_product_classifiable", 2: "multi_entity_requires_segmentation", 3: "insufficient_product_evidence", 4: "insufficient_product_evidence", 5: "non_product_context"}
+
+
+def test_stream_ingests_queued_documents_once(spark, tmp_path):
+    schema = "org_id string, history_doc_id long, text string, created_at long, ingestion_status string, attempt_count int, ingestion_version int"
+    for n, rows in enumerate([[("o", 1, '[{"a": 1}, {"a": 2}]', 1, "queued", 0, 1), ("o", 2, " ", 2, "queued", 0, 1)], [("o", 3, "prose", 3, "queued", 1, 2), ("o", 4, "waits", 4, "held", 0, 1)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        queue = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.stream_ingest(queue, str(tmp_path / "out"), str(tmp_path / "marks")).awaitTermination()
+    done = {r.history_doc_id: (r.ingestion_status, r.attempt_count) for r in spark.read.parquet(str(tmp_path / "out" / "documents")).collect()}
+    assert done == {1: ("indexed", 1), 2: ("failed", 1), 3: ("indexed", 2)}
+    chunks = spark.read.parquet(str(tmp_path / "out" / "chunks")).collect()
+    assert sorted((r.history_doc_id, r.ordinal, r.content, r.ingestion_version) for r in chunks) == [(1, 0, '{"a":1}', 1), (1, 1, '{"a":2}', 1), (3, 0, "prose", 2)]
