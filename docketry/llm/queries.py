@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, contexttree, discriminant, kneserney, licenses, mixing, orderminhash, regions, tiling, windows
+from . import bagminhash, contexttree, discriminant, equalaverage, kneserney, licenses, mixing, orderminhash, regions, tiling, windows
 from .tables import table
 
 
@@ -50,6 +50,10 @@ def op10_contexttree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contexttree.scores(table(spark, sf_dir, "documents"))
 
 
+def op11_equalaverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return equalaverage.compressed(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
