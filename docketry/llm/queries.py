@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, contexttree, discriminant, equalaverage, kneserney, licenses, mixing, orderminhash, regions, smallworld, tiling, windows
+from . import bagminhash, contexttree, discriminant, equalaverage, kneserney, licenses, mixing, orderminhash, regions, repair, smallworld, tiling, windows
 from .tables import table
 
 
@@ -58,6 +58,10 @@ def op12_smallworld(spark: SparkSession, sf_dir: str) -> DataFrame:
     return smallworld.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
