@@ -334,4 +334,4 @@ def gate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the other query modules register theirs on import
-from docketry import registry_checks, registry_facts, registry_history, registry_intake, registry_rollup  # noqa: E402, F401
+from docketry import registry_checks, registry_facts, registry_history, registry_intake, registry_outputs, registry_rollup  # noqa: E402, F401
