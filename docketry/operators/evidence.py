@@ -23,23 +23,40 @@ def segments(docs: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "ordinal", "start", (F.col("start") + F.length("piece")).alias("end"), "quote")
 
 
-def _matched(lowered: Column, terms: tuple[str, ...]) -> Column:
-    """Terms that occur; each is only looked for if one of all occurs."""
-    each = F.array_compact(F.array(*[F.when(lowered.rlike(tx.bounded((t,))), F.lit(t)) for t in terms]))
-    return F.when(lowered.rlike(tx.bounded(terms)), each)
+#: Words in the longest term.
+LONGEST_TERM = 4
 
 
-def match_terms(sentences: DataFrame, signals: tuple = SIGNALS) -> DataFrame:
+def _grams(lowered: Column, longest: int) -> Column:
+    """Runs of one to ``longest`` words of a lower-case text, with what stands between them."""
+    # a blank in front: the first piece is no word, and every second one is
+    pieces = F.regexp_extract_all(F.concat(F.lit(" "), lowered), F.lit("[a-z0-9]+|[^a-z0-9]+"), F.lit(0))
+
+    def runs(ps: Column) -> Column:
+        widths = F.array(*[F.lit(2 * k + 1) for k in range(longest)])
+        starts = F.when(F.size(ps) > 1, F.sequence(F.lit(2), F.size(ps), F.lit(2)))
+        return F.flatten(F.transform(starts, lambda i: F.transform(widths, lambda w: F.array_join(F.slice(ps, i, w), ""))))
+
+    return F.transform(F.array(pieces), runs)[0]
+
+
+def match_terms(sentences: DataFrame, signals: tuple = SIGNALS, longest: int = LONGEST_TERM) -> DataFrame:
     """(doc_id, signal, terms, quote, start, end): one row for each sentence and signal with a term in it.
 
-    The rules are literal patterns of one projection: a pattern column would be
-    compiled again for each row.
+    A sentence's word runs are looked up in the set of all terms, so its cost grows with its own length and not with
+    the rules; only sentences that hold a term are told apart by signal.  Terms begin and end with a letter or digit
+    and have ``longest`` words at most.
     """
-    lowered = F.lower("quote")
-    every = tuple(dict.fromkeys(t for _, _, _, terms in signals for t in terms))
-    found = F.array(*[F.struct(F.lit(key).alias("signal"), _matched(lowered, terms).alias("terms")) for key, _, _, terms in signals])
-    rows = sentences.where(lowered.rlike(tx.bounded(every))).select("doc_id", "start", "end", "quote", F.inline(found))
-    return rows.where("terms IS NOT NULL").select("doc_id", "signal", "terms", "quote", "start", "end")
+    every = list(dict.fromkeys(t for _, _, _, terms in signals for t in terms))
+    matched = F.array_intersect(_grams(F.lower("quote"), longest), F.lit(every))
+
+    def by_signal(m: Column) -> Column:
+        each = F.array(*[F.struct(F.lit(key).alias("signal"), F.array_intersect(F.lit(list(terms)), m).alias("terms")) for key, _, _, terms in signals])
+        return F.when(F.size(m) > 0, F.filter(each, lambda x: F.size(x["terms"]) > 0))
+
+    # one element, so that the matches are bound once
+    found = F.transform(F.array(matched), by_signal)[0]
+    return sentences.select("doc_id", "start", "end", "quote", F.inline(found)).select("doc_id", "signal", "terms", "quote", "start", "end")
 
 
 def with_polarity(evidence: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from docketry.operators import history as hs
 from docketry.operators import profiles as pr
 from docketry.operators import review as rw
 from docketry.oracles import sql
-from docketry.plans.classify import classify
+from docketry.plans.classify import Classified, classify
 from docketry.rules import decision as dr
 from docketry.rules import review as rv
 from docketry.sources import uploads as up
@@ -125,7 +125,10 @@ def blocked_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT r.doc_id, least(176, 70 + 5 * score + 5 * least(12, coalesce(s.support, 0)) - 3 * least(6, coalesce(m.n, 0))) AS n FROM ranked r
     LEFT JOIN (SELECT doc_id, count(*) AS support FROM signals GROUP BY doc_id) s USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM missing GROUP BY doc_id) m USING (doc_id) WHERE rank = 1)""")
 def profile_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = classify(views.briefs(spark, sf_dir))
+    return confidence_of(classify(views.briefs(spark, sf_dir)))
+
+
+def confidence_of(c: Classified) -> DataFrame:
     support = c.signals.groupBy("doc_id").agg(F.count("*").alias("support"))
     missing = c.missing.groupBy("doc_id").agg(F.count("*").alias("gaps"))
     rows = c.ranked.where("rank = 1").join(support, "doc_id", "left").join(missing, "doc_id", "left")
@@ -334,4 +337,4 @@ def gate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the other query modules register theirs on import
-from docketry import registry_checks, registry_facts, registry_history, registry_intake, registry_outputs, registry_rollup  # noqa: E402, F401
+from docketry import registry_checks, registry_facts, registry_history, registry_intake, registry_outputs, registry_records, registry_rollup  # noqa: E402, F401
