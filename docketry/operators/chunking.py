@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.operators import facts as fx
 from docketry.operators import history as hs
+from docketry.rules import identity
 from docketry.rules import review as rules
 
 _LINE, _CELL = "\x1e", "\x1f"
@@ -105,3 +106,25 @@ def ingest_history(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     done = ingested(docs)
     fresh = done.where("ingestion_status = 'indexed'").join(docs.where("ingestion_status = 'queued'").select("history_doc_id"), "history_doc_id", "left_semi").select("history_doc_id", "text")
     return done, chunk_documents(fresh), fx.extract_markers(fresh.withColumnRenamed("history_doc_id", "doc_id"))
+
+
+def budget_text(docs: DataFrame, most: int, headings: tuple[str, ...] = identity.HEADINGS) -> DataFrame:
+    """(doc_id, text): whole texts up to ``most`` characters; of longer ones the first third, windows round headings, and the end.
+
+    Windows are taken in the order of the headings, each round its first place, unless they touch one taken before.
+    A text is searched once a heading and cut once a window, so the work is in proportion to its length.
+    """
+    text, width = F.col("body"), max(identity.LEAST_WINDOW, most // 18)
+    size = F.length("body")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body")).withColumn("low", F.lower("body"))
+    places = F.filter(F.array(*[F.instr("low", h) - 1 for h in headings]), lambda p: p >= 0)
+    windows = F.transform(places, lambda p: F.struct(F.greatest(F.lit(0), p - width // 3).alias("start"), F.least(size, p + width).alias("stop")))
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    free = lambda taken, w: ~F.exists(taken, lambda t: (w["stop"] >= t["start"]) & (w["start"] <= t["stop"]))
+    taken = F.aggregate(windows, none, lambda made, w: F.when(free(made, w), F.concat(made, F.array(w))).otherwise(made))
+    parts = F.concat(F.array(F.substring("body", 1, most // 3)), F.transform(taken, lambda w: F.substring(text, w["start"] + 1, w["stop"] - w["start"])))
+    rows = rows.withColumn("joined", F.when(size > most, F.array_join(parts, identity.EXCERPT)))
+    left = F.lit(most) - F.length("joined")
+    tail = F.when(left > identity.LEAST_TAIL, F.right(text, F.least(left, F.lit(most // 8)))).otherwise("")
+    long = F.when(left < 0, F.substring("joined", 1, most)).otherwise(F.substring(F.concat("joined", F.lit(identity.CLOSING), tail), 1, most))
+    return rows.select("doc_id", F.when(size <= most, text).otherwise(long).alias("text"))

@@ -84,8 +84,8 @@ def ecc_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumn("context", fc.ecc_context(F.col("line")))
 
 
-@query("context_filtered_facts", f"SELECT {_COLUMNS} FROM memory_facts")
-def context_filtered_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("memory_integrity_facts", f"SELECT {_COLUMNS} FROM memory_facts")
+def memory_integrity_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fc.memory_integrity(views.sheets(spark, sf_dir))
 
 
