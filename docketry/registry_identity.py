@@ -129,7 +129,7 @@ _MOST, _WIDTH = 4000, max(rules.LEAST_WINDOW, 4000 // 18)
 _HEADS = "(VALUES " + ", ".join(f"({i}, {text(h)})" for i, h in enumerate(rules.HEADINGS)) + ") AS v(i, heading)"
 _BUDGET = f"""WITH RECURSIVE long_texts AS ({_LONG}), places AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, greatest(0, strpos(lower(text), heading) - 1 - {_WIDTH // 3}) AS a, least(length(text), strpos(lower(text), heading) - 1 + {_WIDTH}) AS b FROM long_texts, {_HEADS} WHERE strpos(lower(text), heading) > 0),
   chosen AS (SELECT doc_id, 0 AS k, CAST([] AS BIGINT[]) AS starts, CAST([] AS BIGINT[]) AS stops FROM long_texts WHERE length(text) > {_MOST}
-    UNION ALL SELECT c.doc_id, CAST(p.k AS INTEGER), CASE WHEN free THEN list_append(starts, a) ELSE starts END, CASE WHEN free THEN list_append(stops, b) ELSE stops END FROM (SELECT c.*, p.k AS pk, p.a, p.b, len(list_filter(range(1, len(starts) + 1), lambda i: b >= starts[i] AND a <= stops[i])) = 0 AS free FROM chosen c JOIN places p ON p.doc_id = c.doc_id AND p.k = c.k + 1) c JOIN places p ON p.doc_id = c.doc_id AND p.k = c.pk),
+    UNION ALL SELECT doc_id, CAST(pk AS INTEGER), CASE WHEN free THEN list_append(starts, a) ELSE starts END, CASE WHEN free THEN list_append(stops, b) ELSE stops END FROM (SELECT c.*, p.k AS pk, p.a, p.b, len(list_filter(range(1, len(starts) + 1), lambda i: p.b >= starts[i] AND p.a <= stops[i])) = 0 AS free FROM chosen c JOIN places p ON p.doc_id = c.doc_id AND p.k = c.k + 1)),
   joined AS (SELECT t.doc_id, text, array_to_string(list_concat([substr(text, 1, {_MOST // 3})], list_transform(range(1, len(starts) + 1), lambda i: substr(text, starts[i] + 1, stops[i] - starts[i]))), {text(rules.EXCERPT)}) AS j FROM long_texts t JOIN (SELECT doc_id, arg_max(starts, k) AS starts, arg_max(stops, k) AS stops FROM chosen GROUP BY doc_id) c ON c.doc_id = t.doc_id)
   SELECT doc_id, CASE WHEN length(j) > {_MOST} THEN substr(j, 1, {_MOST}) ELSE substr(j || {text(rules.CLOSING)} || CASE WHEN {_MOST} - length(j) > {rules.LEAST_TAIL} THEN right(text, least({_MOST} - length(j), {_MOST // 8})) ELSE '' END, 1, {_MOST}) END AS text FROM joined
   UNION ALL SELECT doc_id, text FROM long_texts WHERE length(text) <= {_MOST}"""
