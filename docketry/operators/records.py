@@ -45,7 +45,8 @@ def gathered(docs: DataFrame, evidence: DataFrame, signals: DataFrame, ranked: D
     """One row a document with the arrays that its decision is made of; see decision_records for the columns."""
     form, words = _forms(F.col("text"))
     backend = F.col("backend") if "backend" in docs.columns else F.lit(None).cast("string")
-    parent = docs.select("doc_id", form.alias("form"), words.alias("words"), backend.alias("backend"))
+    more = [c for c in docs.columns if c not in ("doc_id", "text", "backend")]
+    parent = docs.select("doc_id", *more, form.alias("form"), words.alias("words"), backend.alias("backend"))
     quote = F.lower("quote")
     met = F.array_compact(F.array(*[F.when(tx.contains_any(quote, ks), F.lit(r)) for r, ks in dr.KEYWORDS]))
     own = F.concat(F.lit("entity:"), F.col("doc_id").cast("string"))
@@ -58,7 +59,7 @@ def gathered(docs: DataFrame, evidence: DataFrame, signals: DataFrame, ranked: D
     proposed = proposed.select("doc_id", "ordinal", "code", F.coalesce("canonical", "path_key").alias("path_key"), F.coalesce("current", F.lit(False)).alias("current"))
     return nest(
         "doc_id", parent, evidence=quotes, signals=signals.select("doc_id", "signal", "evidence_ids"), ranked=ranked.select("doc_id", "rank", "profile", "score"), candidates=proposed,
-        facts=facts.select("doc_id", "fact_ord", "name", "value", "unit", "snippet", "category", "confidence"), scores=scores.select("doc_id", "confidence"), prior=prior.select("doc_id", "code").distinct(),
+        facts=facts.select("doc_id", "fact_ord", "name", "value", "unit", "snippet", "category", "confidence", _same(F.col("name"), F.col("value"), F.col("unit")).alias("same")), scores=scores.select("doc_id", "confidence"), prior=prior.select("doc_id", "code").distinct(),
     )
 
 
@@ -132,7 +133,7 @@ def _gated(candidates: Column, paths: Column) -> Column:
 def decision_records(docs: DataFrame, evidence: DataFrame, signals: DataFrame, ranked: DataFrame, candidates: DataFrame, facts: DataFrame, scores: DataFrame, prior: DataFrame, regulations: DataFrame) -> DataFrame:
     """One nested row a document: form, profile, components, resolution, optional, capabilities, scope, paths, eligible, blocked, rejected, transitions, limitations, missing, questions, flags, confidence, abstention, provenance; and evidence and facts.
 
-    docs(doc_id, text[, backend]: the profile a provider proposed), evidence as of source_evidence([entity]),
+    docs(doc_id, text[, backend]: the profile a provider proposed; further columns are kept), evidence as of source_evidence([entity]),
     signals(doc_id, signal, evidence_ids), ranked(doc_id, rank, profile, score), candidates(doc_id, ordinal, code,
     path_key), facts, scores(doc_id, confidence), prior(doc_id, code), regulations(code, verification_status).
     """
@@ -163,7 +164,7 @@ def decision_records(docs: DataFrame, evidence: DataFrame, signals: DataFrame, r
     status = lambda s: F.filter("gated", lambda g: g["status"] == s)
     sure = F.when(known, rules.FORM_SURE).otherwise(rules.FORM_UNSURE)
     return rows.select(
-        "doc_id", "backend", F.concat(F.lit("entity:"), F.col("doc_id").cast("string")).alias("entity"), F.struct(F.col("form").alias("value"), sure.alias("confidence"), F.col("named").alias("evidence_ids"), F.when(known, "resolved").otherwise("unknown").alias("status")).alias("form"),
+        "doc_id", *[c for c in docs.columns if c not in ("doc_id", "text", "backend")], "backend", F.concat(F.lit("entity:"), F.col("doc_id").cast("string")).alias("entity"), F.struct(F.col("form").alias("value"), sure.alias("confidence"), F.col("named").alias("evidence_ids"), F.when(known, "resolved").otherwise("unknown").alias("status")).alias("form"),
         F.struct(F.col("canonical").alias("profile"), F.when(known, F.lit(rules.FORM_SURE)).otherwise(F.col("score")).alias("confidence"), F.col("support").alias("evidence_ids")).alias("profile"), components.alias("components"), resolution.alias("resolution"),
         optional.alias("optional"), "capabilities", F.when(F.exists(ev, lambda e: e["scope"] == "current_configuration"), "configuration_specific").otherwise("mixed_or_unspecified").alias("scope"), "paths",
         *[status(s).alias(s) for s in ("eligible", "blocked", "rejected")], F.concat(gone, now).alias("transitions"), F.when(F.size(stuck) > 0, F.array(limited)).otherwise(F.array().cast("array<struct<code:string,paths:array<string>,candidates:array<string>>>")).alias("limitations"),
@@ -172,8 +173,8 @@ def decision_records(docs: DataFrame, evidence: DataFrame, signals: DataFrame, r
     )
 
 
-def semantic_checks(records: DataFrame, memos: DataFrame) -> DataFrame:
-    """(doc_id, code, passed, path, details): 21 assertions over each record and its memo(doc_id, memo); a failed one blocks the run."""
+def semantic_checks(records: DataFrame) -> DataFrame:
+    """(doc_id, code, passed, path, details): 21 assertions over each record and the memo in its column memo; a failed one blocks the run."""
     memo, low = F.col("memo"), F.lower("memo")
     profile, form, evidence, caps, paths, facts = F.col("profile.profile"), F.col("form.value"), F.col("evidence"), F.col("capabilities"), F.col("paths"), F.col("facts")
     keys, none = F.array_sort(F.col("paths.path_key")), _literals(())
@@ -227,7 +228,7 @@ def semantic_checks(records: DataFrame, memos: DataFrame) -> DataFrame:
         ("DECISIVE_NEGATIVE_EVIDENCE_RENDERED", F.size(unshown) == 0, "memo.sourceEvidence", unshown),
         ("BLOCKED_HYPOTHESES_NOT_ELIGIBLE", ~F.arrays_overlap("eligible.code", "blocked.code"), "decision.candidates", none),
     )
-    rows = records.join(memos.select("doc_id", F.coalesce("memo", F.lit("")).alias("memo")), "doc_id")
+    rows = records.withColumn("memo", F.coalesce("memo", F.lit("")))
     made = [F.struct(F.lit(code).alias("code"), F.coalesce(passed, F.lit(False)).alias("passed"), F.lit(path).alias("path"), details.alias("details")) for code, passed, path, details in checks]
     return rows.select("doc_id", F.inline(F.array(*made)))
 
@@ -242,27 +243,33 @@ def _lines(rows: Column, otherwise: str | Column) -> Column:
     return F.when(F.size(rows) > 0, F.array_join(rows, "\n")).otherwise(F.lit(otherwise) if isinstance(otherwise, str) else otherwise)
 
 
+def _same(name: Column, value: Column, unit: Column) -> Column:
+    """Facts that are one line of a report: by normalised name, value and unit."""
+    return F.concat_ws("\u001f", F.regexp_replace(F.lower(name), "[^a-z0-9]+", ""), F.lower(F.trim(value)), F.coalesce(unit, F.lit("\u001e")))
+
+
 def _fact_lines(facts: Column) -> Column:
-    """A line for each (normalised name, value, unit), in the order of first facts, with all of its sources."""
-    key = lambda f: F.concat_ws("\u001f", F.regexp_replace(F.lower(f["name"]), "[^a-z0-9]+", ""), F.lower(F.trim(f["value"])), F.coalesce(f["unit"], F.lit("\u001e")))
+    """A line for each group of same facts, in the order of first facts, with all of its sources."""
 
-    def line(k: Column) -> Column:
-        same = F.filter(facts, lambda f: key(f) == k)
-        f, quotes = F.get(same, F.lit(0)), F.array_distinct(F.transform(same, lambda x: x["snippet"]))
+    def told(f: Column, quotes: Column) -> Column:
         unit = F.when(F.coalesce(f["unit"], F.lit("")) != "", F.concat(F.lit(" "), f["unit"])).otherwise("")
         direct = F.when(F.exists(quotes, lambda q: F.lower(q).contains(F.lower(f["value"]))), "direct").otherwise("inferred")
         sources = F.array_join(F.transform(quotes, lambda q: F.concat(F.lit("“"), q, F.lit("”"))), "; ")
         return F.concat(F.lit("- **"), display_name(f["name"]), F.lit("**: "), f["value"], unit, F.lit("\n  - Source: "), sources, F.lit("\n  - Confidence: "), f["confidence"], F.lit("; support: "), direct)
 
-    return F.transform(F.array_distinct(F.transform(facts, key)), line)
+    def line(key: Column) -> Column:
+        # one element, so that the group is gathered once
+        return F.transform(F.array(F.filter(facts, lambda f: f["same"] == key)), lambda group: told(group[0], F.array_distinct(F.transform(group, lambda x: x["snippet"]))))[0]
+
+    return F.transform(F.array_distinct(F.transform(facts, lambda f: f["same"])), line)
 
 
 def _spaced(c: Column) -> Column:
     return F.replace(c, F.lit("_"), F.lit(" "))
 
 
-def review_report(records: DataFrame, titles: DataFrame) -> DataFrame:
-    """(doc_id, memo): the record as Markdown in fixed section order; titles(doc_id, title, file_name).  Equal facts in other spelling are one line."""
+def review_report(records: DataFrame) -> DataFrame:
+    """The records with the column memo: Markdown in fixed section order, under the columns title and file_name.  Equal facts in other spelling are one line."""
     facts, evidence, paths = F.col("facts"), F.col("evidence"), F.col("paths")
     maker = F.get(each(facts, lambda f: F.when((f["name"] == "manufacturer") & F.lower(f["snippet"]).contains(F.lower(f["value"])), f["value"])), F.lit(0))
     source = F.filter(facts, lambda f: ~f["category"].isin("profile_detection", "normalized_technical_signal") & ~f["name"].startswith("heuristic_signal_") & (f["name"] != "manufacturer"))
@@ -294,4 +301,4 @@ def review_report(records: DataFrame, titles: DataFrame) -> DataFrame:
         "ECCN review recommendation": _lines(advice, F.concat(F.lit("- Abstain: "), F.coalesce("abstention", F.lit("insufficient source evidence")))), "Review state": F.lit("- Classification memo draft for qualified human review.\n- Internal precedent is not regulatory authority."),
     }
     memo = F.concat(F.lit("# Classification Memo Draft — "), F.coalesce("title", F.lit("")), *[x for name, body in bodies.items() for x in (F.lit(f"\n\n## {name}\n"), body)], F.lit("\n"))
-    return records.join(titles, "doc_id").select("doc_id", memo.alias("memo"))
+    return records.withColumn("memo", memo)

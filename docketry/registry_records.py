@@ -88,7 +88,7 @@ FROM rec_docs d JOIN rec_profile p ON p.doc_id = d.doc_id LEFT JOIN rec_named n
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = views.briefs(spark, sf_dir)
+    docs = views.briefs(spark, sf_dir).selectExpr("doc_id", "text", "'Brief ' || doc_id AS title", f"{_TITLE} AS file_name")
     views.views(spark, sf_dir, "lineitem")
     c = classify(docs)
     facts = spark.sql(FACTS).withColumnRenamed("run_id", "doc_id").withColumn("confidence", F.expr(_CONFIDENCE))
@@ -146,14 +146,9 @@ STEPS["rec_memos"] = f"""SELECT d.doc_id, '# Classification Memo Draft — ' ||
   || {_NL} || {_NL} || '## Review state' || {_NL} || '- Classification memo draft for qualified human review.' || {_NL} || '- Internal precedent is not regulatory authority.' || {_NL} AS memo FROM rec_docs d JOIN rec_profile p ON p.doc_id = d.doc_id"""
 
 
-def reports(spark: SparkSession, made: DataFrame) -> DataFrame:
-    titles = made.select("doc_id", F.concat(F.lit("Brief "), F.col("doc_id").cast("string")).alias("title"), F.expr(_TITLE).alias("file_name"))
-    return rc.review_report(made, titles)
-
-
 @query("review_report", "SELECT doc_id, memo FROM rec_memos")
 def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports(spark, records(spark, sf_dir))
+    return rc.review_report(records(spark, sf_dir)).select("doc_id", "memo")
 
 
 def _check(code: str, passed: str, details: str = "''") -> str:
@@ -190,8 +185,7 @@ _CHECKS = " UNION ALL ".join([
 
 
 def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = records(spark, sf_dir)
-    return rc.semantic_checks(made, reports(spark, made).select("doc_id", F.expr(_DAMAGE).alias("memo")))
+    return rc.semantic_checks(rc.review_report(records(spark, sf_dir)).withColumn("memo", F.expr(_DAMAGE)))
 
 
 @query("semantic_checks", _CHECKS)
