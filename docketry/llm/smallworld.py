@@ -282,7 +282,7 @@ def searched(graphs: DataFrame, queries: DataFrame, counts: DataFrame, k: int) -
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         scores, found = _graph(left).nearest(_matrix(right.column("vector")), k) if left.num_rows and right.num_rows else (np.zeros((0, k)), np.zeros((0, k), np.int64))
         there = np.isfinite(scores)
-        return pa.table({"rep": np.repeat(right.column("rep").to_numpy(), k)[there.ravel()], "found": found[there], "score": scores[there]})
+        return pa.table({"rep": np.repeat(right.column("rep").to_numpy(), there.shape[1])[there.ravel()], "found": found[there], "score": scores[there]})
 
     left = graphs.join(counts.select("length", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), "length")
     right = queries.join(counts.select("length", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")), "length")
