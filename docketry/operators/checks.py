@@ -23,21 +23,26 @@ def structural_contradictions(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(code)) for code, test in checks]))).alias("code"))
 
 
+def narrative_tests(text: Column, paths: Column, detected: Column, flags: Column, candidates: Column) -> tuple[tuple[str, Column], ...]:
+    """(code, whether it applies) of the checks on what a run tells: lower-case text and path titles, detected features, flags, how many candidates."""
+    has = lambda k: F.array_contains(detected, k)
+    return (
+        ("CRYPTO_NARRATIVE_CONTRADICTION", has("hasCryptography") & contains_any(text, rules.DENIED_CRYPTO)),
+        ("SECURE_BOOT_NARRATIVE_CONTRADICTION", has("hasSecureBoot") & contains_any(text, rules.DENIED_BOOT)),
+        ("CRYPTO_REVIEW_PATH_MISSING", has("hasCryptographicAccelerator") & ~contains_any(paths, rules.CRYPTO_PATH) & ~F.array_contains(flags, "crypto_relevance_requires_qualified_review")),
+        ("HUMAN_REVIEW_LANGUAGE_MISSING", ((F.size(flags) > 0) | (candidates > 0)) & ~contains_any(text, rules.REVIEW_LANGUAGE)),
+    )
+
+
 def narrative_checks(runs: DataFrame, codes: DataFrame) -> DataFrame:
     """(run_id, code, detail): denials of detected features, a missing path or review wording, and malformed codes.
 
     runs(run_id, narrative, path_titles, detected, flags); detected and flags are arrays.  codes(run_id, code).
     """
     text, paths = F.lower(F.concat_ws("\n", "path_titles", "narrative")), F.lower("path_titles")
-    has = lambda k: F.array_contains("detected", k)
     many = codes.groupBy("run_id").agg(F.count("*").alias("n"))
     rows = runs.join(many, "run_id", "left")
-    checks = (
-        ("CRYPTO_NARRATIVE_CONTRADICTION", has("hasCryptography") & contains_any(text, rules.DENIED_CRYPTO)),
-        ("SECURE_BOOT_NARRATIVE_CONTRADICTION", has("hasSecureBoot") & contains_any(text, rules.DENIED_BOOT)),
-        ("CRYPTO_REVIEW_PATH_MISSING", has("hasCryptographicAccelerator") & ~contains_any(paths, rules.CRYPTO_PATH) & ~F.array_contains("flags", "crypto_relevance_requires_qualified_review")),
-        ("HUMAN_REVIEW_LANGUAGE_MISSING", ((F.size("flags") > 0) | (F.coalesce("n", F.lit(0)) > 0)) & ~contains_any(text, rules.REVIEW_LANGUAGE)),
-    )
+    checks = narrative_tests(text, paths, F.col("detected"), F.col("flags"), F.coalesce("n", F.lit(0)))
     found = rows.select("run_id", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(code)) for code, test in checks]))).alias("code"), F.lit("").alias("detail"))
     return found.unionByName(codes.where(~is_specific_code(F.col("code"))).select("run_id", F.lit("INVALID_ECCN_CANDIDATE").alias("code"), F.col("code").alias("detail")))
 

@@ -172,11 +172,15 @@ def default_profile(facts: DataFrame) -> DataFrame:
     return words.where("NOT has").select("doc_id", pick(0).alias("profile"), pick(1).alias("confidence"))
 
 
-def capability_signals(docs: DataFrame, facts: DataFrame) -> DataFrame:
-    """(doc_id, key, detected, confidence, names) for each document and capability: by fact name or by a token of name, value or snippet."""
+def capability_keys() -> Column:
+    """The capabilities that a fact is a sign of: by its name or by a token of name, value or snippet."""
     hay = F.lower(F.concat_ws(" ", "name", "value", "snippet"))
-    keys = F.array_compact(F.array(*[F.when(F.col("name").isin(*names) | tx.contains_any(hay, tokens), F.lit(k)) for k, names, tokens in rules.CAPABILITIES]))
-    found = facts.select("doc_id", "fact_ord", "name", F.explode(keys).alias("key")).groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("fact_ord", "name"))).alias("f"))
+    return F.array_compact(F.array(*[F.when(F.col("name").isin(*names) | tx.contains_any(hay, tokens), F.lit(k)) for k, names, tokens in rules.CAPABILITIES]))
+
+
+def capability_signals(docs: DataFrame, facts: DataFrame) -> DataFrame:
+    """(doc_id, key, detected, confidence, names) for each document and capability."""
+    found = facts.select("doc_id", "fact_ord", "name", F.explode(capability_keys()).alias("key")).groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("fact_ord", "name"))).alias("f"))
     every = docs.select("doc_id", F.explode(F.array(*[F.lit(k) for k, _, _ in rules.CAPABILITIES])).alias("key"))
     n = F.coalesce(F.size("f"), F.lit(0))
     return every.join(found, ["doc_id", "key"], "left").select("doc_id", "key", (n > 0).alias("detected"), F.when(n >= 3, "high").when(n >= 1, "medium").otherwise("low").alias("confidence"), F.coalesce(F.col("f.name"), F.array().cast("array<string>")).alias("names"))

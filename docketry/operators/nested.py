@@ -24,6 +24,15 @@ def nest(key: str, parent: DataFrame, **children: DataFrame) -> DataFrame:
     return held.where(F.col("_own").isNotNull()).select(key, "_own.*", *children)
 
 
+def nest_colocated(key: str, parent: DataFrame, **children: DataFrame) -> DataFrame:
+    """As nest, for tables that are bucketed alike by the key: each child is gathered and joined where it lies, without an exchange."""
+    rows = parent
+    for name, child in children.items():
+        held = child.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*[c for c in child.columns if c != key]))).alias(name))
+        rows = rows.join(held, key, "left")
+    return rows.withColumns({name: F.coalesce(name, F.array().cast(rows.schema[name].dataType)) for name in children})
+
+
 def each(rows: str | Column, make) -> Column:
     """make(struct) for each struct of an array column, without nulls."""
     return F.array_compact(F.transform(rows, make))

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.text import is_specific_code, squash_ws
+from docketry.operators.checks import narrative_tests
+from docketry.operators.facts import capability_keys
+from docketry.operators.nested import nest
+from docketry.rules.facts import CAPABILITIES
 
 HEADER = "## Company History Comparison"
 USES = (("precedent", "Similar company history found"), ("partial_precedent", "Partially similar company history found"), ("contrast", "Contrast record — material differences"))
@@ -77,3 +81,38 @@ def integrity_backfill(runs: DataFrame, candidates: DataFrame, issues: DataFrame
     again = F.col("issues") > 0
     summary = rows.select("run_id", F.when(again & (F.col("status") != "failed"), "needs_attention").otherwise(F.col("status")).alias("status"), "invalid", "created_paths", "issues", again.alias("regenerate"))
     return summary, made.drop("created")
+
+
+def backfill(tables: dict[str, DataFrame], gather=nest) -> DataFrame:
+    """Stored runs derived anew from their own tables, a nested row a run: detected features and issues, candidates with path_id and is_specific, paths to create, citations with path_id, status and whether the memo must be written again.
+
+    tables as of sources.relational: runs, facts, candidates, paths, citations, memos.  ``gather`` is nest, or
+    nest_colocated for tables bucketed by run_id, which then exchange nothing.
+    """
+    t = tables
+    wide = t["facts"].select("run_id", "fact_ord", capability_keys().alias("keys"))
+    own = t["candidates"].select("run_id", "candidate_id", "code", "title", "path_id", "why", "why_not")
+    rows = gather("run_id", t["runs"].select("run_id", "org_id", "status", "flags"), facts=wide, candidates=own, paths=t["paths"].select("run_id", "path_id", "title", "why"), citations=t["citations"].select("run_id", "citation_id", "candidate_id", "path_id"), memos=t["memos"].select("run_id", "version", "markdown"))
+    keys = F.array_distinct(F.flatten("facts.keys"))
+    detected = F.filter(F.lit([k for k, _, _ in CAPABILITIES]), lambda k: F.array_contains(F.col("keys"), k))
+
+    def demoted(c: Column) -> Column:
+        valid = is_specific_code(c["code"])
+        kind = F.when(F.lower(c["code"]).contains("5 part 2"), "encryption_security").otherwise("product_area")
+        made = F.concat(kind, F.lit(":"), squash_ws(F.lower(c["title"])))
+        return F.struct(c["candidate_id"].alias("candidate_id"), c["code"].alias("code"), valid.alias("is_specific"), F.when(valid, c["path_id"]).otherwise(F.coalesce(c["path_id"], made)).alias("path_id"), (~valid & c["path_id"].isNull()).alias("created"), kind.alias("kind"), c["title"].alias("title"))
+
+    latest = F.coalesce(F.get(F.col("memos.markdown"), F.size("memos") - 1), F.lit(""))
+    whole = F.concat_ws("\n", F.array_join("paths.why", "\n"), F.array_join("candidates.why", "\n"), F.array_join("candidates.why_not", "\n"), latest)
+    rows = rows.withColumns({"keys": keys, "titles": F.lower(F.array_join("paths.title", " ")), "told": F.lower(whole), "made": F.transform("candidates", demoted)}).withColumn("detected", detected)
+    text = F.concat_ws("\n", "titles", "told")
+    tests = narrative_tests(text, F.col("titles"), F.col("detected"), F.col("flags"), F.size("candidates"))
+    bad = F.filter("made", lambda c: ~c["is_specific"])
+    issues = F.concat(F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(code)) for code, test in tests])), F.transform(bad, lambda c: F.concat(F.lit("INVALID_ECCN_CANDIDATE:"), c["code"])))
+    moved = F.transform("citations", lambda x: F.struct(x["citation_id"].alias("citation_id"), x["candidate_id"].alias("candidate_id"), F.coalesce(x["path_id"], F.get(F.filter(bad, lambda c: c["candidate_id"] == x["candidate_id"]), F.lit(0))["path_id"]).alias("path_id")))
+    created = F.transform(F.filter("made", lambda c: c["created"]), lambda c: F.struct(c["path_id"].alias("path_id"), c["kind"].alias("kind"), c["title"].alias("title")))
+    rows = rows.withColumns({"issues": issues, "moved": moved})
+    again = F.size("issues") > 0
+    return rows.select(
+        "run_id", "org_id", F.when(again & (F.col("status") != "failed"), "needs_attention").otherwise(F.col("status")).alias("status"), F.col("status").alias("status_before"), "detected", "issues", F.col("made").alias("candidates"), created.alias("created_paths"), F.col("moved").alias("citations"), again.alias("regenerate"),
+    )

@@ -337,4 +337,4 @@ def gate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the other query modules register theirs on import
-from docketry import registry_checks, registry_facts, registry_history, registry_identity, registry_intake, registry_outputs, registry_prior, registry_records, registry_rollup  # noqa: E402, F401
+from docketry import registry_backfill, registry_checks, registry_facts, registry_history, registry_identity, registry_intake, registry_outputs, registry_prior, registry_records, registry_rollup  # noqa: E402, F401
