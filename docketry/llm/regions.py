@@ -11,14 +11,18 @@ of class, id and role.  So a class that no list knows counts against its words
 if labelled pages hold it outside.  A word weighs the sum for its kind and
 features, within ``MOST``.  Without labelled pages, ``PRIOR`` holds.
 
-The region is contiguous, but content may have holes: elements whose name or
-class says that they are no content (menus, headers, footers, sidebars, notices,
-adverts, forms, comments) are left out of it with all they hold, as are scripts,
-styles and comments in the markup.  Of regions of equal sum the first is taken.
+Tags in plenty can outweigh short words at the edge of the content, as in a list
+or table of single words.  So a region that lies in one article or main element
+goes on there, to both sides, over words that weigh for content.  The region may
+have holes: elements that are no content by their name, or by a whole word of
+class, id or role that says so (menus, headers, footers, sidebars, notices,
+adverts, forms, comments), are left out of it, as are scripts, styles and
+comments in the markup.  Of regions of equal sum the first is taken.
 
 Cases: null html is empty and gives an empty text.  Markup that is cut off or
-never closed is read as far as it goes.  Rows that repeat a page_id are read
-each; other columns are not used.
+never closed is read as far as it goes.  Time and memory are in proportion to a
+page, however deeply it nests.  Rows that repeat a page_id are read each; other
+columns are not used.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,86 +60,116 @@ _CLOSED_BY = {"p": _BLOCKS - {"br"}, "li": frozenset(("li",)), "dt": frozenset((
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<", re.S)
 _CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_PART = re.compile(r"[^a-z]+")
 _WORD = re.compile(r"\S+")
 _SPACE = re.compile(r"\s+")
 
 
-def _is_aside(name: str, attributes: str, inside_content: bool) -> bool:
+def _words(attributes: str) -> list[str]:
+    """The words of class, id and role."""
+    return [x for m in _CLASS.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").lower().split()]
+
+
+def _is_aside(name: str, attributes: str, words: list[str], inside_content: bool) -> bool:
     if name in _ASIDE or (name == "header" and not inside_content):
         return True
     if "hidden" in attributes and re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes):
         return True
-    for m in _CLASS.finditer(attributes):
-        value = (m[1] or m[2] or m[3] or "").lower()
-        if _ASIDE_WORDS.intersection(_PART.split(value)) and name not in ("body", "html", "article", "main"):
-            return True
-    return False
-
+    return name not in ("body", "html", "article", "main") and not _ASIDE_WORDS.isdisjoint(words)
 
-def _marks(name: str, attributes: str, above: frozenset) -> frozenset:
-    """The features of an element and of those it stands in."""
-    own = {name} if name in _NAMED else set()
-    if name not in ("html", "body", "article", "main"):
-        for m in _CLASS.finditer(attributes):
-            own.update("." + x for x in (m[1] or m[2] or m[3] or "").lower().split())
-    return above | own if own else above
 
+def pieces(page: str, opened: Callable[[list[str]], None], closed: Callable[[list[str]], None]) -> Iterator[tuple[str, str, bool, int]]:
+    """(kind, value, aside, content) of a page in order: kind is tag, break, text or link; content numbers the article or main element it stands in, 0 for none.
 
-_NO_MARKS: frozenset = frozenset()
+    ``opened`` and ``closed`` are told each element's features as it begins and ends, before the pieces that follow.
+    """
+    top = ("", False, False, 0, [])
+    open_: list[tuple[str, bool, bool, int, list[str]]] = []  # name, aside, link, content, own features
+    depth: Counter = Counter()  # open elements of each name, so that a closing tag without one costs nothing
+    endless: set[str] = set()  # dropped elements without a closing tag from here on
+    at, n, contents = 0, len(page), 0
 
+    def close() -> str:
+        name, _, _, _, own = open_.pop()
+        depth[name] -= 1
+        closed(own)
+        return name
 
-def pieces(page: str) -> Iterator[tuple[str, str, bool, bool, frozenset]]:
-    """(kind, value, aside, labelled, features) of a page in order: kind is tag, break, text or link."""
-    top = ("", False, False, False, _NO_MARKS)
-    open_: list[tuple[str, bool, bool, bool, frozenset]] = []  # name, aside, link, labelled, features
-    depth: Counter = Counter()  # open elements of each name, so that a closing tag without one costs nothing
-    at, n = 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
         name = (m[2] or "").lower()
-        _, aside, link, labelled, marks = open_[-1] if open_ else top
+        _, aside, link, content, _ = open_[-1] if open_ else top
         if not name:
             if m[0][0] != "<" or m[0] == "<":
-                yield ("link" if link else "text"), html.unescape(m[0]), aside, labelled, marks
+                yield ("link" if link else "text"), html.unescape(m[0]), aside, content
             continue
         if m[1]:
             if depth[name]:
-                while True:
-                    last = open_.pop()[0]
-                    depth[last] -= 1
-                    if last == name:
-                        break
+                while close() != name:
+                    pass
         else:
             while open_ and name in _CLOSED_BY.get(open_[-1][0], ()):
-                depth[open_.pop()[0]] -= 1
+                close()
             if name in _DROPPED:
-                end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at) if not m[3].rstrip().endswith("/") or name in ("script", "style") else None
+                end = None
+                if name not in endless and (not m[3].rstrip().endswith("/") or name in ("script", "style")):
+                    end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at)
+                    if not end:
+                        endless.add(name)
                 if end:
                     at = end.end()
                 elif name in ("script", "style"):
                     at = n
-                yield "tag", name, aside, labelled, marks
+                yield "tag", name, aside, content
                 continue
             if name not in _VOID and not m[3].rstrip().endswith("/"):
-                _, aside, link, labelled, marks = open_[-1] if open_ else top
-                open_.append((name, aside or _is_aside(name, m[3], labelled), link or name == "a", labelled or name in _CONTENT, _marks(name, m[3], marks)))
+                _, aside, link, content, _ = open_[-1] if open_ else top
+                words = _words(m[3])
+                own = [name] if name in _NAMED else []
+                if name not in ("html", "body", "article", "main"):
+                    own += [f".{w}" for w in words]
+                aside = aside or _is_aside(name, m[3], words, content > 0)
+                if name in _CONTENT:
+                    contents += 1
+                    content = contents
+                open_.append((name, aside, link or name == "a", content, own))
                 depth[name] += 1
+                opened(own)
         now = open_[-1] if open_ else top
-        yield ("break" if name in _BLOCKS else "tag"), name, now[1], now[3], now[4]
+        yield ("break" if name in _BLOCKS else "tag"), name, now[1], now[3]
 
 
 def features(page: str) -> tuple[Counter, Counter]:
-    """Tokens inside and outside of the labelled content by kind, and words by feature; both empty for an unlabelled page."""
-    inside, outside = Counter(), Counter()
-    for kind, value, _, labelled, marks in pieces(page):
-        side = inside if labelled else outside
-        words = len(_WORD.findall(value)) if kind in ("text", "link") else 1
-        side["tag" if kind == "break" else kind] += words
+    """Tokens inside and outside of the labelled content by kind, and words by feature; both empty for an unlabelled page.
+
+    A feature's words are those counted while it is open: a difference of running sums when it ends.
+    """
+    sides = (Counter(), Counter())  # outside, inside
+    words = [0, 0]
+    since: dict[str, tuple[int, int]] = {}
+    active: Counter = Counter()
+
+    def opened(own: list[str]) -> None:
+        for f in own:
+            active[f] += 1
+            if active[f] == 1:
+                since[f] = (words[0], words[1])
+
+    def closed(own: list[str]) -> None:
+        for f in own:
+            active[f] -= 1
+            if not active[f]:
+                for side in (0, 1):
+                    sides[side][f"of {f}"] += words[side] - since[f][side]
+
+    for kind, value, _, content in pieces(page, opened, closed):
+        side = 1 if content else 0
+        count = len(_WORD.findall(value)) if kind in ("text", "link") else 1
+        sides[side]["tag" if kind == "break" else kind] += count
         if kind in ("text", "link"):
-            for mark in marks:
-                side[f"of {mark}"] += words
+            words[side] += count
+    closed([f for f, times in active.items() for _ in range(times)])
+    inside, outside = +sides[1], +sides[0]
     return (inside, outside) if inside else (Counter(), Counter())
 
 
@@ -157,33 +191,63 @@ def weights(inside: dict[str, int], outside: dict[str, int]) -> dict[str, float]
     return found
 
 
-def extract(page: str | None, weight: dict[str, float]) -> str:
-    """The text of the region of the highest sum, blocks parted by line feeds."""
-    run = list(pieces(page or ""))
+def scan(run: list[tuple[str, str, bool, int, float]], tag: float, aside_word: float) -> tuple[int, int]:
+    """Start and end of the region of the highest sum, of pieces whose last field is the weight of a word of theirs."""
     best = (0.0, 0, 0)
     total, start = 0.0, 0
-    known: dict[tuple[str, frozenset], float] = {}
-    for i, (kind, value, aside, _, marks) in enumerate(run):
+    for i, (kind, value, aside, _, word) in enumerate(run):
         if kind in ("text", "link"):
-            if aside:
-                total += weight["aside"]  # what is left out anyway parts no content
-            else:
-                if (kind, marks) not in known:
-                    known[kind, marks] = min(max(weight[kind] + sum(weight.get(f"of {m}", 0.0) for m in marks), -MOST), MOST)
-                total += known[kind, marks] * len(_WORD.findall(value))
+            total += aside_word if aside else word * len(_WORD.findall(value))  # what is left out anyway parts no content
         else:
-            total += weight["tag"]
+            total += tag
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best[0]:
             best = (total, start, i + 1)
-    _, start, end = best
-    blocks, block = [], []
+    return best[1], best[2]
+
+
+def extract(page: str | None, weight: dict[str, float]) -> str:
+    """The text of the region of the highest sum, blocks parted by line feeds."""
+    marks = 0  # the sum of the open features, in millionths, so that it comes back to itself
+    active: Counter = Counter()
+    worth = {k[3:]: round(v * 1e6) for k, v in weight.items() if k.startswith("of ")}
+
+    def opened(own: list[str]) -> None:
+        nonlocal marks
+        for f in own:
+            active[f] += 1
+            if active[f] == 1:
+                marks += worth.get(f, 0)
+
+    def closed(own: list[str]) -> None:
+        nonlocal marks
+        for f in own:
+            active[f] -= 1
+            if not active[f]:
+                marks -= worth.get(f, 0)
+
+    run = []
+    for kind, value, aside, content in pieces(page or "", opened, closed):
+        run.append((kind, value, aside, content, min(max(weight[kind] + marks / 1e6, -MOST), MOST) if kind in ("text", "link") else 0.0))
+    start, end = scan(run, weight["tag"], weight["aside"])
     # the block in which the region starts and the one in which it ends are taken whole
     while start and run[start - 1][0] != "break":
         start -= 1
     while end < len(run) and run[end][0] != "break":
         end += 1
+    told = [content for kind, value, aside, content, _ in run[start:end] if kind in ("text", "link") and not aside and not value.isspace()]
+    if told and told[0] and told[0] == told[-1]:
+
+        def goes_on(piece: tuple[str, str, bool, int, float]) -> bool:
+            kind, value, aside, content, word = piece
+            return content == told[0] and (kind not in ("text", "link") or aside or value.isspace() or word > 0)
+
+        while start and goes_on(run[start - 1]):
+            start -= 1
+        while end < len(run) and goes_on(run[end]):
+            end += 1
+    blocks, block = [], []
     for kind, value, aside, _, _ in run[start:end]:
         if kind == "break":
             blocks.append("".join(block))
