@@ -139,7 +139,7 @@ def retrieval_trace(queries: DataFrame, chunks: DataFrame, matches: DataFrame, n
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     best = matches.withColumn("place", place)
     top = best.groupBy("query_id").agg(F.count("*").alias("candidates"), F.array_sort(F.collect_list(F.when(F.col("place") <= n, F.struct("place", "chunk_id")))).alias("t"))
-    rows = queries.select("org_id", "query_id").join(F.broadcast(before), "org_id", "left").join(top, "query_id", "left")
+    rows = queries.select("org_id", "query_id").join(before, "org_id", "left").join(top, "query_id", "left")
     return rows.select("query_id", F.coalesce("chunks_before", F.lit(0)).alias("chunks_before"), F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce(F.col("t.chunk_id"), F.array().cast("array<bigint>")).alias("top"))
 
 

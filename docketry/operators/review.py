@@ -133,5 +133,5 @@ def eligible_state(docs: DataFrame, candidates: DataFrame) -> DataFrame:
 def verified_candidates(candidates: DataFrame, regulations: DataFrame, mapped: DataFrame, cited: DataFrame) -> DataFrame:
     """Candidates(doc_id, code, path_key, paragraph, has_criteria) with a valid code, a current regulation with version and date, a paragraph, criteria, a mapped fact and a citation."""
     current = regulations.where("verification_status = 'current' AND version <> '' AND dated").select("code").distinct()
-    rows = candidates.where(is_specific_code(F.col("code")) & (F.coalesce("paragraph", F.lit("")) != "") & F.col("has_criteria")).join(F.broadcast(current), "code", "left_semi")
+    rows = candidates.where(is_specific_code(F.col("code")) & (F.coalesce("paragraph", F.lit("")) != "") & F.col("has_criteria")).join(current, "code", "left_semi")
     return rows.join(mapped, "doc_id", "left_semi").join(cited, "doc_id", "left_semi").select("doc_id", "code", "path_key")

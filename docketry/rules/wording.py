@@ -30,7 +30,6 @@ CRYPTO_TERMS = (
     "macsec", "tls offload", "ipsec", "vpn", "hsm", "cryptographic acceleration", "cryptographic accelerator", "user-accessible encryption",
     "user accessible encryption", "data confidentiality", "payload encryption", "bulk encryption", "key management", "key storage",
 )
-PLATFORM_SECURITY_TERMS = ("secure boot", "remote attestation", "firmware signing", "signed firmware", "secure enclave", "encrypted bitstream", "bitstream encryption")
 SECURITY_TERMS = ("encrypt", "crypto", "tls", "ipsec", "macsec", "secure boot", "key management", "firmware signing", "remote attestation")
 AI_TERMS = ("ai accelerator", "tops", "tflops", "hbm3", "hbm3e")
 
