@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, contexttree, discriminant, equalaverage, kneserney, licenses, mixing, orderminhash, regions, repair, smallworld, tiling, windows
+from . import bagminhash, contexttree, discriminant, equalaverage, kneserney, licenses, mixing, oracles, orderminhash, regions, repair, smallworld, tiling, windows
 from .tables import table
 
 
@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
