@@ -23,6 +23,21 @@ def evaluate_corpus(cases: DataFrame, ranked: DataFrame, instructions: DataFrame
     return rows.select("doc_id", profiles.alias("profiles_ok"), primary.alias("primary_ok"), injection.alias("injection_ok"), (profiles & primary & injection).alias("ok"))
 
 
+def corpus_metrics(cases: DataFrame, verdicts: DataFrame, candidates: DataFrame, *by: str) -> DataFrame:
+    """Cases, assertions and correct ones by kind, failing cases and the share of candidates without a matched fact (4 decimals), for all cases or for each group ``by``.
+
+    cases as of evaluate_corpus with the columns ``by``, verdicts its result, candidates(doc_id, supported).
+    """
+    counted = candidates.groupBy("doc_id").agg(F.count("*").alias("made"), F.count_if(~F.col("supported")).alias("bare"))
+    rows = cases.join(verdicts, "doc_id").join(counted, "doc_id", "left").fillna(0, ["made", "bare"])
+    asserts = (F.size(F.coalesce("expected", F.array().cast("array<string>"))) > 0) | (F.size(F.coalesce("forbidden", F.array().cast("array<string>"))) > 0)
+    primary, injection = F.col("primary").isNotNull(), F.coalesce("injection", F.lit(False))
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("cases"), F.count_if(asserts).alias("profile_assertions"), F.count_if(asserts & F.col("profiles_ok")).alias("profile_correct"), F.count_if(primary).alias("primary_assertions"), F.count_if(primary & F.col("primary_ok")).alias("primary_correct"),
+        F.count_if(injection & F.col("injection_ok")).alias("injection_correct"), F.count_if(~F.col("ok")).alias("failing"), F.coalesce(F.round(F.try_divide(F.sum("bare"), F.sum("made")), 4), F.lit(0.0)).alias("unsupported_rate"),
+    )
+
+
 def compare_signatures(left: DataFrame, right: DataFrame) -> DataFrame:
     """(doc_id, same): whether two runs agree on primary profile, paths and codes.  Both: (doc_id, profile, paths, codes)."""
     def of(df: DataFrame, side: str) -> DataFrame:

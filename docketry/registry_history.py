@@ -15,7 +15,7 @@ from docketry.operators import retrieval as rt
 from docketry.operators import review as rw
 from docketry.oracles import STEPS, text
 from docketry.plans.classify import classify
-from docketry.registry import _REGULATIONS, GATE, joined, query
+from docketry.registry import _REGULATIONS, GATE, ORACLES, joined, query
 from docketry.rules import history as hr
 from docketry.rules import review as rv
 from docketry.sources import uploads as up
@@ -291,26 +291,45 @@ _CASES = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ai_accelerator' WHEN 1 THE
     NOT injection OR (doc_id IN (SELECT doc_id FROM briefs WHERE {" OR ".join(f"regexp_matches(lower(text), {text(p)})" for p in ev.wording.INSTRUCTIONS)}) AND doc_id NOT IN (SELECT doc_id FROM candidates)) AS i
     FROM ({_CASES.format(b='briefs')}) JOIN (SELECT doc_id, list(profile) AS d, max(profile) FILTER (rank = 1) AS first_ FROM ranked GROUP BY doc_id) USING (doc_id))""")
 def evaluate_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir)[1]
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = views.briefs(spark, sf_dir)
     c = classify(docs)
     cases = spark.sql(_CASES, b=docs).select("doc_id", *[F.filter(F.array(k), lambda x: x != "").alias(k) for k in ("expected", "forbidden")], F.col("primary_").alias("primary"), "injection")
-    return evl.evaluate_corpus(cases, c.ranked, ev.untrusted(docs), c.candidates)
+    return cases, evl.evaluate_corpus(cases, c.ranked, ev.untrusted(docs), c.candidates), c.candidates
+
+
+_METRICS = """SELECT primary_ AS label, count(*) AS cases, count(*) FILTER (expected <> '' OR forbidden <> '') AS profile_assertions, count(*) FILTER ((expected <> '' OR forbidden <> '') AND profiles_ok) AS profile_correct, count(primary_) AS primary_assertions, count(primary_) FILTER (primary_ok) AS primary_correct,
+  count(*) FILTER (injection AND injection_ok) AS injection_correct, count(*) FILTER (NOT ok) AS failing, coalesce(round(sum(bare) / sum(made), 4), 0) AS unsupported_rate FROM ({cases}) c JOIN ({verdicts}) v ON v.doc_id = c.doc_id LEFT JOIN (SELECT doc_id, count(*) AS made, count(*) FILTER (ordinal % 3 = 0) AS bare FROM candidates GROUP BY doc_id) n ON n.doc_id = c.doc_id GROUP BY primary_"""
+
+
+@query("corpus_metrics", _METRICS.format(cases=_CASES.format(b="briefs"), verdicts=ORACLES["evaluate_corpus"]))
+def corpus_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases, verdicts, candidates = _evaluated(spark, sf_dir)
+    return evl.corpus_metrics(cases.withColumn("label", F.col("primary")), verdicts, candidates.select("doc_id", (F.col("ordinal") % 3 != 0).alias("supported")), "label")
 
 
 _SIGNED = "SELECT doc_id, max(profile) FILTER (rank = 1) AS profile FROM ranked GROUP BY doc_id"
 
 
-@query("compare_signatures", f"""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL AND a.profile = b.profile AND coalesce(a.codes, '') = coalesce(b.codes, '') AS same FROM
-    (SELECT * FROM ({_SIGNED}) LEFT JOIN (SELECT doc_id, string_agg(DISTINCT code, '|' ORDER BY code) AS codes FROM candidates GROUP BY doc_id) USING (doc_id)) a FULL JOIN
-    (SELECT * FROM ({_SIGNED}) LEFT JOIN (SELECT doc_id, string_agg(DISTINCT code, '|' ORDER BY code) AS codes FROM candidates WHERE doc_id % 4 <> 0 GROUP BY doc_id) USING (doc_id) WHERE doc_id % 9 <> 0) b ON a.doc_id = b.doc_id""")
+_PATHS_OF = "SELECT doc_id, string_agg(DISTINCT path_key, '|' ORDER BY path_key) AS opened FROM paths WHERE {0} GROUP BY doc_id"
+_LESS = "NOT (doc_id % 7 = 0 AND path_key = 'general_electronics_fallback')"
+
+
+@query("compare_signatures", f"""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL AND a.profile = b.profile AND coalesce(a.codes, '') = coalesce(b.codes, '') AND coalesce(a.opened, '') = coalesce(b.opened, '') AS same FROM
+    (SELECT * FROM ({_SIGNED}) LEFT JOIN (SELECT doc_id, string_agg(DISTINCT code, '|' ORDER BY code) AS codes FROM candidates GROUP BY doc_id) USING (doc_id) LEFT JOIN ({_PATHS_OF.format('true')}) USING (doc_id)) a FULL JOIN
+    (SELECT * FROM ({_SIGNED}) LEFT JOIN (SELECT doc_id, string_agg(DISTINCT code, '|' ORDER BY code) AS codes FROM candidates WHERE doc_id % 4 <> 0 GROUP BY doc_id) USING (doc_id) LEFT JOIN ({_PATHS_OF.format(_LESS)}) USING (doc_id) WHERE doc_id % 9 <> 0) b ON a.doc_id = b.doc_id""")
 def compare_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.briefs(spark, sf_dir)
     c = classify(docs)
     first = c.ranked.where("rank = 1").select("doc_id", "profile")
 
-    def signed(candidates: DataFrame) -> DataFrame:
+    def signed(candidates: DataFrame, paths: DataFrame) -> DataFrame:
         codes = candidates.groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
+        opened = paths.groupBy("doc_id").agg(F.collect_list("path_key").alias("paths"))
         none = F.array().cast("array<string>")
-        return first.join(codes, "doc_id", "left").select("doc_id", "profile", none.alias("paths"), F.coalesce("codes", none).alias("codes"))
+        return first.join(codes, "doc_id", "left").join(opened, "doc_id", "left").select("doc_id", "profile", F.coalesce("paths", none).alias("paths"), F.coalesce("codes", none).alias("codes"))
 
-    return evl.compare_signatures(signed(c.candidates), signed(c.candidates.where("doc_id % 4 <> 0")).where("doc_id % 9 <> 0"))
+    return evl.compare_signatures(signed(c.candidates, c.paths), signed(c.candidates.where("doc_id % 4 <> 0"), c.paths.where(_LESS)).where("doc_id % 9 <> 0"))
