@@ -21,7 +21,7 @@ def test_flagship_runs(spark):
 
 @pytest.mark.parametrize("name", [
     "primary_profile", "open_paths", "mark_duplicates", "check_transitions", "audit_log", "drop_generic_facts", "capability_signals", "extract_markers", "text_previews",
-    "score_matches", "role_pools", "check_projection", "history_detail", "check_uploads", "content_key", "completion_status", "memo_versions", "mentions", "document_role", "memo_sections", "chunk_text", "chunk_documents", "ingest_history", "ingested_chunks", "logical_lines", "resolve_entities", "owned_evidence", "qualify", "intake_reports", "rank_manufacturer", "rank_interface_revision", "profile_facts", "fact_links", "comparison_section", "integrity_backfill", "demoted_candidates", "output_checks", "decision_records", "semantic_checks", "run_verdicts", "review_report", "extract_identity", "context_filtered_facts", "context_snippets", "budget_text",
+    "score_matches", "role_pools", "check_projection", "history_detail", "check_uploads", "content_key", "completion_status", "memo_versions", "mentions", "document_role", "memo_sections", "chunk_text", "chunk_documents", "ingest_history", "ingested_chunks", "logical_lines", "resolve_entities", "owned_evidence", "qualify", "intake_reports", "rank_manufacturer", "rank_interface_revision", "profile_facts", "fact_links", "comparison_section", "integrity_backfill", "demoted_candidates", "output_checks", "decision_records", "semantic_checks", "run_verdicts", "review_report", "extract_identity", "context_filtered_facts", "context_snippets", "budget_text", "prior_stage_candidates", "history_questions", "stored_runs", "corpus_metrics", "compare_signatures",
 ])
 def test_oracles_agree(spark, name):
     con = duckdb.connect()
