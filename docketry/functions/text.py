@@ -32,6 +32,18 @@ def line_at(text: Column, start: Column, end: Column) -> Column:
     return F.when(F.length(line) <= 220, line).otherwise(context(text, start, end, 70, 70))
 
 
+def bound(found: Column, make) -> Column:
+    """make(value) where the value isn't null; the value is evaluated once."""
+    return F.transform(F.array(found), lambda m: F.when(m.isNotNull(), make(m)))[0]
+
+
+def first_span(text: Column, pattern: str, group: int = 0) -> Column:
+    """struct<start, stop, name> of the first match, 0-based; null without one.  name is the group, or the whole match."""
+    start = F.regexp_instr(text, F.lit(pattern)) - 1
+    made = F.transform(F.array(start), lambda s: F.when(s >= 0, F.struct(s.alias("start"), (s + F.length(F.regexp_extract(text, pattern, 0))).alias("stop"), F.regexp_extract(text, pattern, group).alias("name"))))
+    return made[0]
+
+
 def context(text: Column, start: Column, end: Column, left: int, right: int) -> Column:
     """The squashed window of ``left`` and ``right`` characters round a match."""
     first = F.greatest(start - left, F.lit(0))

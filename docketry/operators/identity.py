@@ -24,18 +24,6 @@ def _fact(order: int, name: str, value: Column, snippet: Column, category: str,
     return F.struct(F.lit(order).alias("fact_ord"), F.lit(name).alias("name"), value.alias("value"), F.lit(None).cast("string").alias("unit"), snippet.alias("snippet"), F.lit(category).alias("category"), sure.alias("confidence")).cast(FACT)
 
 
-def first_span(text: Column, pattern: str, group: int = 0) -> Column:
-    """struct<start, stop, name> of the first match, 0-based; null without one.  name is the group, or the whole match."""
-    start = F.regexp_instr(text, F.lit(pattern)) - 1
-    made = F.transform(F.array(start), lambda s: F.when(s >= 0, F.struct(s.alias("start"), (s + F.length(F.regexp_extract(text, pattern, 0))).alias("stop"), F.regexp_extract(text, pattern, group).alias("name"))))
-    return made[0]
-
-
-def _of(found: Column, make) -> Column:
-    """make(span) where there is one; the span is evaluated once."""
-    return F.transform(F.array(found), lambda m: F.when(m.isNotNull(), make(m)))[0]
-
-
 def bodies(docs: DataFrame) -> DataFrame:
     """(doc_id, body, top): the text without carriage returns, and its head."""
     return docs.select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit("")).alias("body")).withColumn("top", F.substring("body", 1, rules.TOP))
@@ -55,13 +43,13 @@ def part_number(body: Column, top: Column) -> Column:
         bad = tx.contains_any(F.lower(_line(body, m)), rules.LEGAL_WORDS) | m["name"].rlike("^[A-Za-z]+$") | m["name"].rlike(f"(?i){rules.DOCUMENT_LIKE}")
         return F.when(~bad, m)
 
-    return F.coalesce(*[_of(F.coalesce(first_span(top, p, 1), first_span(body, p, 1)), good) for p in rules.PART_NUMBERS])
+    return F.coalesce(*[tx.bound(F.coalesce(tx.first_span(top, p, 1), tx.first_span(body, p, 1)), good) for p in rules.PART_NUMBERS])
 
 
 def with_identity(docs: DataFrame) -> DataFrame:
     """(doc_id, body, top, family, part): the texts with the span of an overview family and of the part number."""
     rows = bodies(docs)
-    overview = F.coalesce(*[first_span(F.col("body"), f"(?i){p}") for p, many, _ in rules.FAMILIES if many])
+    overview = F.coalesce(*[tx.first_span(F.col("body"), f"(?i){p}") for p, many, _ in rules.FAMILIES if many])
     rows = rows.withColumn("family", overview)
     return rows.withColumn("part", F.when(F.col("family").isNull(), part_number(F.col("body"), F.col("top"))))
 
@@ -69,12 +57,12 @@ def with_identity(docs: DataFrame) -> DataFrame:
 def _identity(body: Column, top: Column, family: Column, part: Column) -> list[Column]:
     """Arrays of identity facts."""
     at = lambda m: tx.line_at(body, m["start"], m["stop"])
-    found = [_families(first_span(body, f"(?i){pattern}"), i, facts, body) for i, (pattern, _, facts) in enumerate(rules.FAMILIES)]
+    found = [_families(tx.first_span(body, f"(?i){pattern}"), i, facts, body) for i, (pattern, _, facts) in enumerate(rules.FAMILIES)]
     head = F.substring(body, 1, rules.NUMBER_TOP)
     kind = lambda m: F.when(F.lower(m["name"]) == "datasheet", "Data Sheet").when(F.lower(m["name"]) == "overview", "Product Specification").otherwise(m["name"])
-    number = F.when(family.isNotNull(), _of(first_span(head, f"(?i){rules.DOCUMENT_NUMBER}", 1), lambda m: _fact(20, "document_number", F.upper(m["name"]), at(m), "product_identity", "high")))
-    sort = F.when(family.isNotNull(), _of(first_span(head, f"(?i){rules.DOCUMENT_TYPE}", 1), lambda m: _fact(21, "document_type", kind(m), at(m), "product_identity", "medium")))
-    own = _of(part, lambda m: _fact(30, "part_number", m["name"], at(m), "product_identity", "high"))
+    number = F.when(family.isNotNull(), tx.bound(tx.first_span(head, f"(?i){rules.DOCUMENT_NUMBER}", 1), lambda m: _fact(20, "document_number", F.upper(m["name"]), at(m), "product_identity", "high")))
+    sort = F.when(family.isNotNull(), tx.bound(tx.first_span(head, f"(?i){rules.DOCUMENT_TYPE}", 1), lambda m: _fact(21, "document_type", kind(m), at(m), "product_identity", "medium")))
+    own = tx.bound(part, lambda m: _fact(30, "part_number", m["name"], at(m), "product_identity", "high"))
     devices = [_device(top, body, *device) for device in rules.DEVICE_TYPES]
     lines = F.filter(F.split(top, "\n"), lambda x: x.rlike(f"(?i)(?:{rules.DESCRIBING})"))
     told = F.transform(F.array(tx.squash_ws(F.get(lines, F.lit(0)))), lambda x: F.when(tx.contains_any(F.lower(x), rules.DESCRIPTION_WORDS), _fact(50, "product_description", x, x, "product_identity", "medium")))[0]
@@ -83,11 +71,11 @@ def _identity(body: Column, top: Column, family: Column, part: Column) -> list[C
 
 def _families(span: Column, i: int, facts: tuple, body: Column) -> Column:
     made = lambda m: F.array(*[_fact(10 * i + j, name, F.lit(value), tx.line_at(body, m["start"], m["stop"]), category, "high") for j, (name, value, category) in enumerate(facts)])
-    return F.coalesce(_of(span, made), F.array().cast(f"array<{FACT}>"))
+    return F.coalesce(tx.bound(span, made), F.array().cast(f"array<{FACT}>"))
 
 
 def _device(top: Column, body: Column, pattern: str, label: str, sure: str) -> Column:
-    return _of(first_span(top, f"(?i){pattern}"), lambda m: _fact(40, "device_type", F.lit(label), tx.line_at(body, m["start"], m["stop"]), "product_identity", sure))
+    return tx.bound(tx.first_span(top, f"(?i){pattern}"), lambda m: _fact(40, "device_type", F.lit(label), tx.line_at(body, m["start"], m["stop"]), "product_identity", sure))
 
 
 def extract_identity(docs: DataFrame) -> DataFrame:
@@ -106,7 +94,7 @@ def _nearby(body: Column, order: int, name: str, value: str, category: str, patt
     if every:
         found = F.when(body.rlike(f"(?is){pattern}"), spans(body, pattern)).otherwise(none)
     else:
-        found = F.array_compact(F.array(first_span(body, f"(?is){pattern}", 1)))
+        found = F.array_compact(F.array(tx.first_span(body, f"(?is){pattern}", 1)))
 
     def keep(m: Column) -> Column:
         def told(near: Column) -> Column:
@@ -133,7 +121,7 @@ def _architecture(body: Column, part: Column) -> Column:
             compared = tx.contains_any(tx.context_at(body, m["start"], m["stop"], rules.CONTEXT), rules.COMPARED)
             return F.when(own & ~compared, _fact(3100, "converter_architecture", F.lit(name), tx.line_at(body, m["start"], m["stop"]), "converter_performance", "medium"))
 
-        return _of(first_span(body, f"(?i){pattern}"), told)
+        return tx.bound(tx.first_span(body, f"(?i){pattern}"), told)
 
     return F.array(F.coalesce(*[one(p, n) for p, n in rules.ARCHITECTURES]))
 
