@@ -40,7 +40,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, U), "down": np.ones(1, U)}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base of rolling hashes, and of its inverse."""
     if len(_powers["up"]) < n:
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps = np.full(n, base, U)
@@ -85,7 +86,7 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         self.row = np.searchsorted(offsets[1:], self.start, "right")
         self.first = np.searchsorted(self.row, np.arange(rows + 1))
-        up, down = _power(n + 1)
+        up, down = powers(n + 1)
         total = np.zeros(n + 1, U)
         np.cumsum((fold[data].astype(U) + U(1)) * up[:n], out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start])

@@ -5,8 +5,9 @@ functions the sequence is split as a Cartesian tree splits it: the least value
 of a range is the min-hash of every subsequence that holds it, so one compact
 window (left, place, right) stands for all of them, and only windows of at
 least ``PASSAGE`` words are made: about 2n/PASSAGE a text and hash, not n^2.
-Equal values of a range share one window, so a text that repeats itself makes
-no more of them.
+Of equal least values the first counts.  Windows of a text that are alike up to
+a passage before and after their places are one, so a text of one phrase makes
+few of them; a shingle that stands in many surroundings has one for each.
 
 Equal texts are folded first; a copy of a text of PASSAGE words or more is one
 passage as a whole.  Windows of the other documents meet by (hash, least
@@ -15,8 +16,9 @@ each shingle up to PASSAGE words before and after its place and within the
 window.  With the places aligned, the intervals of PASSAGE words around them
 that have enough shingles in common decide: a window takes the document of
 smaller id with the most, once over the intervals that hold the shingles before
-its place and once over those after it, so each group gives at most two pairs a
-window, and no window is left out.  The words of these pairs decide: passages
+its place and once over those after it, and for each interval that neither of
+them shares (or not whole) but another one does, the likest of those; no window
+is left out and no shared interval.  The words of these pairs decide: passages
 are maximal regions in which most shingles occur in the other text, of PASSAGE
 words or more, whose multisets of shingles are alike by ``LIKENESS`` or more; a
 region that isn't alike as a whole is parted at its misses and where its shift
@@ -44,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import U, Words, by_slice, cuts, mix, utf8
+from .arrays import U, Words, by_slice, cuts, mix, powers, utf8
 from .tables import MOST_BROADCAST_IDS, durable, with_groups, within
 
 SHINGLE = 5
@@ -52,31 +54,58 @@ PASSAGE = 50
 LIKENESS = 0.8
 HASHES = 4
 BLOCK = 4_096
-PAIRS = 8_192  # pairs of windows compared at once
+PAIRS = 8_192  # windows or pairs of windows looked at at once
 #: misses, or steps of the shift, that part a region which isn't alike as a whole, one after the other
 PARTED = (64, 32, 16, 8, 4, 2, 1, 0)
 _WHITE = " \t\n\x0b\f\r"
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], U)
 
 
+def _sliding(pick: np.ufunc, values: np.ndarray, n: int) -> np.ndarray:
+    """pick over each stretch of n values."""
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        values = pick(values[: len(values) - step], values[step:])
+        size += step
+    return values
+
+
 def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(left, place, right) of the windows of at least ``least`` values, both ends within."""
-    found, ranges = [], [(0, len(values))]
-    while ranges:
-        lo, hi = ranges.pop()
-        if hi - lo < least:
-            continue
-        part = values[lo:hi]
-        at = int(part.argmin())
-        ties = np.flatnonzero(part[at:] == part[at]) + at
-        found.append((lo, lo + at, hi - 1))
-        ranges.append((lo, lo + at))
-        if len(ties) == 1:
-            ranges.append((lo + at + 1, hi))
-        else:
-            gaps = np.diff(np.append(ties, hi - lo))
-            ranges += [(lo + int(x) + 1, lo + int(x + g)) for x, g in zip(ties[gaps > least], gaps[gaps > least], strict=True)]
-    return found
+    """(left, place, right) of the windows of at least ``least`` values, both ends within.
+
+    A subsequence in which the least value stands in several places belongs to the window of the first of them.  Windows
+    that are alike in all values less than ``least`` away from their places are one.
+    """
+    n = len(values)
+    if n < least:
+        return []
+    # a place has a window if its value is the least of a stretch of ``least`` values; so have the places that bound this window
+    low = _sliding(np.minimum, values, least)
+    high = _sliding(np.maximum, np.concatenate((np.repeat(low[:1], least - 1), low, np.repeat(low[-1:], least - 1))), least)
+    places = np.flatnonzero(high == values)
+    at, value = places.tolist(), values[places].tolist()
+    left, right = [0] * len(at), [n - 1] * len(at)
+    bounds: list[int] = []
+    for i, (p, v) in enumerate(zip(at, value, strict=True)):
+        while bounds and value[bounds[-1]] > v:
+            right[bounds.pop()] = p - 1
+        if bounds:
+            left[i] = at[bounds[-1]] + 1
+        bounds.append(i)
+    found = list(zip(left, at, right, strict=True))
+    if len(set(value)) == len(value):
+        return found
+    long = np.array([x for x in found if x[2] - x[0] + 1 >= least])
+    place = long[:, 1]
+    lo, hi = np.maximum(long[:, 0], place - least + 1), np.minimum(long[:, 2], place + least - 1) + 1
+    up, down = powers(n + 1)
+    total = np.concatenate((np.zeros(1, U), np.cumsum(values * up[:n])))
+    around = (total[hi] - total[lo]) * down[lo]
+    unlike: dict[tuple, tuple[int, int, int]] = {}
+    for *key, x in zip(values[place].tolist(), (place - lo).tolist(), (hi - place).tolist(), around.tolist(), long.tolist(), strict=True):
+        unlike.setdefault(tuple(key), tuple(x))
+    return list(unlike.values())
 
 
 #: key holds the number of its hash function in the low three bits; before and after: values to the left and right of the place.
@@ -278,27 +307,42 @@ def _around(shingle: int, passage: int):
                 at, own = words.shingles(shingle)
                 value = np.maximum(mix(own ^ _SEEDS[4]) >> U(56), U(1)).astype(np.uint8)
                 first = np.searchsorted(words.row[at], np.arange(j - i + 1))
-                which = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
-                some = np.arange(ends[i], ends[j])
-                inside = first[which] + place[some] < first[which + 1]  # rows that repeat a doc_id have other places
-                which, some = which[inside], some[inside]
-                step = np.arange(-wide, wide + 1)
-                spot = first[which][:, None] + place[some][:, None] + step
-                held = (step >= -before[some][:, None]) & (step <= after[some][:, None]) & (spot >= first[which][:, None]) & (spot < first[which + 1][:, None])
-                around = np.where(held, value[np.clip(spot, 0, max(len(value) - 1, 0))], 0) if len(some) else np.zeros((0, len(step)), np.uint8)
-                flat = np.ascontiguousarray(around, np.uint8)
-                at_byte = pa.py_buffer((np.arange(len(some) + 1) * len(step)).astype(np.int32))
-                packed = pa.Array.from_buffers(pa.binary(), len(some), [None, at_byte, pa.py_buffer(flat)])
-                yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(n[some]), batch.column("doc_id").slice(i, j - i).take(pa.array(which)), packed], ["key", "n", "doc_id", "around"])
+                rows = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
+                for k in range(0, len(rows), PAIRS):
+                    which = rows[k : k + PAIRS]
+                    some = ends[i] + k + np.arange(len(which))
+                    inside = first[which] + place[some] < first[which + 1]  # rows that repeat a doc_id have other places
+                    which, some = which[inside], some[inside]
+                    step = np.arange(-wide, wide + 1)
+                    spot = first[which][:, None] + place[some][:, None] + step
+                    held = (step >= -before[some][:, None]) & (step <= after[some][:, None]) & (spot >= first[which][:, None]) & (spot < first[which + 1][:, None])
+                    around = np.where(held, value[np.clip(spot, 0, max(len(value) - 1, 0))], 0) if len(some) else np.zeros((0, len(step)), np.uint8)
+                    flat = np.ascontiguousarray(around, np.uint8)
+                    at_byte = pa.py_buffer((np.arange(len(some) + 1) * len(step)).astype(np.int32))
+                    packed = pa.Array.from_buffers(pa.binary(), len(some), [None, at_byte, pa.py_buffer(flat)])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(n[some]), batch.column("doc_id").slice(i, j - i).take(pa.array(which)), packed], ["key", "n", "doc_id", "around"])
 
     return run
 
 
-def nearest(group: np.ndarray, doc: np.ndarray, around: np.ndarray, at_least: float) -> list[tuple[int, int]]:
+def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many shingles of each interval of half the width and one more x has in common with y, each at its own place or beside it."""
+    hit = x == y
+    hit[:, 1:] |= x[:, 1:] == y[:, :-1]
+    hit[:, :-1] |= x[:, :-1] == y[:, 1:]
+    hit &= x > 0
+    total = np.zeros((len(x), x.shape[1] + 1), np.int16)
+    np.cumsum(hit, axis=1, out=total[:, 1:])
+    half = x.shape[1] // 2 + 1
+    return total[:, half:] - total[:, :-half]
+
+
+def nearest(group: np.ndarray, doc: np.ndarray, around: np.ndarray, at_least: float, every: bool = False) -> list[tuple[int, int]]:
     """(source, window) indexes: for each window the earlier one of its group, by doc, that is likest before and the one likest after its place.
 
     Rows are ordered by group and doc.  A pair counts if one interval of half the width of ``around`` and one more that
-    holds the place has the shingles that a likeness of at_least needs, each at its own place or beside it.
+    holds the place has the shingles that a likeness of at_least needs, each at its own place or beside it.  every: for
+    each such interval that these two don't share, or not whole, but an earlier window does, also the likest that does.
     """
     n, width = around.shape
     wide = width // 2
@@ -309,21 +353,18 @@ def nearest(group: np.ndarray, doc: np.ndarray, around: np.ndarray, at_least: fl
     own = np.stack([np.bitwise_or.reduce(bit[:, wide - side : wide], axis=1), np.bitwise_or.reduce(bit[:, wide + 1 : wide + 1 + side], axis=1)])
     other = ~np.stack([np.bitwise_or.reduce(bit[:, wide - side - 1 : wide + 1], axis=1), np.bitwise_or.reduce(bit[:, wide : wide + 2 + side], axis=1)])
     missing = wide + 1 - need
-    best = np.full((2, n), -1, np.int64)
+    best = np.full((n, wide + 1), -1, np.int64)  # of each interval of a window, by its start: shingles in common * n + n - 1 - source
 
     def scored(t: np.ndarray, s: np.ndarray) -> None:
-        x, y = around[t], around[s]
-        hit = x == y
-        hit[:, 1:] |= x[:, 1:] == y[:, :-1]
-        hit[:, :-1] |= x[:, :-1] == y[:, 1:]
-        hit &= x > 0
-        total = np.zeros((len(t), width + 1), np.int16)
-        np.cumsum(hit, axis=1, out=total[:, 1:])
-        spans = total[:, wide + 1 :] - total[:, : wide + 1]
-        for k, part in enumerate((spans[:, : wide - side + 1], spans[:, side:])):
-            most = part.max(axis=1).astype(np.int64)
-            good = most >= need
-            np.maximum.at(best[k], t[good], most[good] * n + (n - 1 - s[good]))
+        spans = _shared(around[t], around[s])
+        some = np.flatnonzero(spans.max(axis=1) >= need)
+        if not len(some):
+            return
+        some = some[np.argsort(t[some], kind="stable")]
+        rank = np.where(spans[some] >= need, spans[some] * np.int64(n) + (n - 1 - s[some])[:, None], -1)
+        head = np.flatnonzero(np.append(True, np.diff(t[some]) > 0))
+        at = t[some][head]
+        best[at] = np.maximum(best[at], np.maximum.reduceat(rank, head, axis=0))
 
     waiting, many = [], 0
     for lag in range(1, n):
@@ -344,7 +385,21 @@ def nearest(group: np.ndarray, doc: np.ndarray, around: np.ndarray, at_least: fl
             waiting, many = [], 0
     if many:
         scored(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
-    return [(int(n - 1 - best[k, t] % n), int(t)) for k in (0, 1) for t in np.flatnonzero(best[k] >= 0)]
+    likest = np.stack([best[:, : wide - side + 1].max(axis=1), best[:, side:].max(axis=1)]) if n else np.zeros((2, 0), np.int64)
+    found = [(t, n - 1 - likest[k, t] % n) for k in (0, 1) for t in (np.flatnonzero(likest[k] >= 0),)]
+    if every:
+
+        def settle(t: np.ndarray, s: np.ndarray) -> None:
+            # what some window shares whole, one that shares it whole must settle
+            best[t] = np.where(_shared(around[t], around[s]) >= np.where(best[t] // n > wide, wide + 1, need), -1, best[t])
+
+        for t, s in found:
+            settle(t, s)
+        while len(t := np.flatnonzero((best >= 0).any(axis=1))):
+            s = n - 1 - best[t, (best[t] >= 0).argmax(axis=1)] % n
+            settle(t, s)
+            found.append((t, s))
+    return [pair for t, s in found for pair in zip(s.tolist(), t.tolist(), strict=True)]
 
 
 def _compared(at_least: float):
@@ -364,7 +419,7 @@ def _compared(at_least: float):
         rep = first[same]
         a, b = doc[rep], doc
         keep = np.sort(first)
-        found = nearest(of[keep], doc[keep], around[keep], at_least)
+        found = nearest(of[keep], doc[keep], around[keep], at_least, every=True)
         if found:
             x, y = np.array(found).T
             a, b = np.append(a, doc[keep][x]), np.append(b, doc[keep][y])
@@ -418,7 +473,7 @@ def repeated_passages(docs: DataFrame, shingle: int = SHINGLE, passage: int = PA
     heads = many.groupBy("hash").agg(F.min("doc_id").alias("head"), F.count("*").alias("n"))
     many = durable(with_groups(many.drop("n"), heads, "hash"))
     blocks = many.where("doc_id = head").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    large = many.where("doc_id = head").join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    large = many.where("doc_id = head").join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("doc_id", "around"), F.col("blocks")).cast("int"))
     other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
     large = large.select("key", "doc_id", "around", "own", F.explode(other).alias("other")).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "around")
     dealt = around.where(F.col("n") <= BLOCK).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "doc_id", "around").unionByName(large)

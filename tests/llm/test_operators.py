@@ -371,6 +371,64 @@ def test_nearest_matches_a_plain_version():
     assert got == want and len(want) > 20
 
 
+def test_compact_windows_of_repeated_values_hold_every_stretch():
+    # equal least values of a range: each stretch lies in a window with the same values round its place
+    rng = np.random.default_rng(4)
+    for n, kinds, least in ((60, 3, 10), (40, 2, 6), (80, 1, 7), (30, 8, 5), (12, 5, 12)):
+        for turn in range(10):
+            values = rng.integers(0, kinds, n).astype(np.uint64)
+            if turn % 2:
+                values = np.tile(values[: n // 4], 4)
+            made = windows.compact_windows(values, least)
+            for x in range(len(values) - least + 1):
+                part = values[x : x + least].tolist()
+                at = part.index(min(part))
+                assert any(lo <= c - at and c - at + least - 1 <= hi and values[c - at : c - at + least].tolist() == part for lo, c, hi in made)
+
+
+def test_repeated_passages_whose_sentences_stand_elsewhere_in_their_texts_too(spark):
+    # of a passage of two sentences, both documents hold each sentence before it, in another order
+    rng = np.random.default_rng(12)
+    fresh = lambda n: ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        s, t = fresh(30), fresh(30)
+        texts += [fresh(20) + s + t + fresh(20), t + s + s + t + fresh(9)]
+    got = {}
+    for r in windows.repeated_passages(rows(spark, [" ".join(t) for t in texts])).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    assert all(set(range(60, 120)) <= got.get(d, set()) for d in range(1, 80, 2))
+
+
+def test_nearest_shares_every_interval_that_an_earlier_window_shares():
+    rng = np.random.default_rng(8)
+    text = rng.integers(1, 256, 91).astype(np.uint8)
+    around = rng.integers(1, 256, (24, 91)).astype(np.uint8)
+    for k in range(23):
+        at = int(rng.integers(0, 46))
+        around[k, at : at + 46] = text[at : at + 46]
+    around[23] = text
+    whole = lambda s, t: {a for a in range(46) if (around[s] == around[t])[a : a + 46].all()}
+    of = lambda pairs: set().union(*(whole(s, t) for s, t in pairs if t == 23))
+    want = of([(s, 23) for s in range(23)])
+    two, every = (windows.nearest(np.zeros(24, int), np.arange(24), around, 0.8, every=x) for x in (False, True))
+    assert of(every) == want and of(two) < want and set(two) <= set(every)
+
+
+def test_repeated_passages_hold_both_of_two_overlapping_passages(spark):
+    # a document holds a and b and c; an earlier one a and b, the first one b and c: the least id must not hide the other
+    rng = np.random.default_rng(13)
+    fresh = lambda n: ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n)]
+    texts = []
+    for k in range(300):
+        a, b, c = fresh(12), fresh(40), fresh(12)
+        texts += [fresh(5) + b + c + fresh(5), fresh(5) + a + b + fresh(5), fresh(5) + a + b + c + fresh(5)]
+    got = {}
+    for r in windows.repeated_passages(rows(spark, [" ".join(t) for t in texts])).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    assert all(set(range(5, 69)) <= got.get(d, set()) for d in range(2, 900, 3))
+
+
 def test_repeated_passages_odd_rows(odd, empty):
     assert {(r.doc_id, r.source_id) for r in windows.repeated_passages(odd).collect()} == {(7, 6)}
     assert windows.repeated_passages(empty).collect() == []
