@@ -55,6 +55,8 @@ LIKENESS = 0.8
 HASHES = 4
 BLOCK = 4_096
 PAIRS = 8_192  # windows or pairs of windows looked at at once
+BLOCKS = 8  # neighbouring blocks of surroundings whose bits must agree before two windows are compared shingle by shingle
+TABLED = 32  # a group of more windows is compared as a table of pairs
 #: misses, or steps of the shift, that part a region which isn't alike as a whole, one after the other
 PARTED = (64, 32, 16, 8, 4, 2, 1, 0)
 _WHITE = " \t\n\x0b\f\r"
@@ -120,20 +122,19 @@ def _windows(shingle: int, passage: int, hashes: int):
         words = Words(data, offsets)
         at, own = words.shingles(shingle)
         first = np.searchsorted(words.row[at], np.arange(len(batch) + 1))
-        rows, turns, spans, keys = [], [], [], []
+        made = []
         for turn in range(hashes):
             values = mix(own ^ _SEEDS[turn])
-            for k in np.flatnonzero(np.diff(first) >= least):
+            rows, spans = [], []
+            for k in np.flatnonzero(np.diff(first) >= least).tolist():
                 found = compact_windows(values[first[k] : first[k + 1]], least)
                 spans += found
                 rows += [k] * len(found)
-                turns += [turn] * len(found)
-            done = len(keys)
-            keys += [values[first[k] + c] for k, (_, c, _) in zip(rows[done:], spans[done:], strict=True)]
-        spans = np.array(spans, np.int32).reshape(-1, 3)
-        turns = np.array(turns, U)
-        keys = ((mix(np.array(keys, U)) & ~U(7)) | turns).view(np.int64) if keys else np.zeros(0, np.int64)
-        ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
+            rows, spans = np.array(rows, np.int64), np.array(spans, np.int32).reshape(-1, 3)
+            made.append((rows, spans, (mix(values[first[rows] + spans[:, 1]]) & ~U(7)) | U(turn)))
+        rows, spans, keys = (np.concatenate(x) for x in zip(*made, strict=True))
+        keys = keys.view(np.int64)
+        ids = batch.column("doc_id").take(pa.array(rows))
         return pa.RecordBatch.from_arrays([ids, pa.array(keys), *[pa.array(x, pa.int32()) for x in (spans[:, 1], spans[:, 1] - spans[:, 0], spans[:, 2] - spans[:, 1])]], schema=_MADE)
 
     return lambda batches: by_slice(make, batches)
@@ -160,21 +161,25 @@ def _regions(hit: np.ndarray, miss: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e, _, _ in kept]
 
 
-def _multiset(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard likeness of two arrays as multisets."""
-    (x, n), (y, m) = (np.unique(v, return_counts=True) for v in (a, b))
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    shared = np.minimum(n[i], m[j]).sum()
-    return shared / max(1, len(a) + len(b) - shared)
+def _multiset(a: np.ndarray, b: np.ndarray, rest: int) -> float:
+    """Weighted Jaccard likeness of two arrays of small numbers as multisets; rest: how many more the first has that the second cannot hold."""
+    shared = 0
+    if len(a) and len(b):
+        low = min(int(a.min()), int(b.min()))
+        x, y = np.bincount(a - low), np.bincount(b - low)
+        n = min(len(x), len(y))
+        shared = int(np.minimum(x[:n], y[:n]).sum())
+    return shared / max(1, len(a) + rest + len(b) - shared)
 
 
 def _verbatim(own: np.ndarray, other: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(first, last, shift) of the longest runs of own whose every stretch of ``least`` values is in other too, at one shift a run."""
     made = []
     for values in (own, other):
-        total = np.zeros(len(values) - least + 1, U)
+        total, mixed = np.zeros(len(values) - least + 1, U), mix(values)
         for k in range(least):
-            total = total * _SEEDS[0] + mix(values[k : k + len(total)])
+            total *= _SEEDS[0]
+            total += mixed[k : k + len(total)]
         made.append(total)
     a, b = made
     order = np.argsort(b, kind="stable")
@@ -189,15 +194,15 @@ def _verbatim(own: np.ndarray, other: np.ndarray, least: int) -> list[tuple[int,
 
 def _followed(own: np.ndarray, other: np.ndarray, place: np.ndarray, hit: np.ndarray) -> np.ndarray:
     """The shift of each hit; a shingle that stands in several places is read where the hit after or before it is."""
-    shift = place - np.arange(len(own))
+    shift, met = (place - np.arange(len(own))).tolist(), hit.tolist()
     for turn in (range(len(own) - 2, -1, -1), range(1, len(own))):
         step = 1 if turn.step < 0 else -1
         for i in turn:
-            if hit[i] and hit[i + step] and shift[i] != shift[i + step]:
+            if met[i] and met[i + step] and shift[i] != shift[i + step]:
                 at = i + shift[i + step]
                 if 0 <= at < len(other) and other[at] == own[i]:
                     shift[i] = shift[i + step]
-    return shift
+    return np.array(shift)
 
 
 def shared_passages(own: np.ndarray, other: np.ndarray, shingle: int = SHINGLE, passage: int = PASSAGE, at_least: float = LIKENESS) -> list[tuple[int, int, int, int, float]]:
@@ -206,19 +211,39 @@ def shared_passages(own: np.ndarray, other: np.ndarray, shingle: int = SHINGLE,
     if min(len(own), len(other)) < least:
         return []
     order = np.argsort(other, kind="stable")
-    at = np.searchsorted(other[order], own)
+    ordered = other[order]
+    at = np.searchsorted(ordered, own)
     at = np.minimum(at, len(other) - 1)
     place = order[at]
     hit = other[place] == own
     found = []
     shift = place - np.arange(len(own))
+    # the first place of each shingle in other stands for it; where none repeats, that of own tells whether a stretch holds it
+    first_place = np.empty(len(other), np.int64)
+    first_place[order] = order[np.maximum.accumulate(np.where(np.append(True, ordered[1:] != ordered[:-1]), np.arange(len(other)), 0))]
+    hits = np.concatenate(([0], np.cumsum(hit)))
+    hit_place, hit_shift = place[hit], shift[hit]
+    once = len(np.unique(hit_place)) == len(hit_place) and bool((ordered[1:] != ordered[:-1]).all())
 
     def best(s: int, e: int) -> tuple[float, int, int]:
         """The likest stretch of other, at the shifts of some of the hits (a shingle may stand in several places)."""
         made = []
-        for d in np.unique(np.quantile(shift[s : e + 1][hit[s : e + 1]], (0, 0.25, 0.5, 0.75, 1), method="nearest")).astype(int).tolist():
+        i, j = int(hits[s]), int(hits[e + 1])
+        sites, shifts = hit_place[i:j], hit_shift[i:j]
+        if j > i and shifts[0] == shifts[-1] and (shifts == shifts[0]).all():
+            some = [int(shifts[0])]
+        else:
+            shifts = np.sort(shifts)
+            some = sorted({int(shifts[round(q * (j - i - 1))]) for q in (0, 0.25, 0.5, 0.75, 1)})
+        for d in some:
             lo, hi = max(0, s + d), min(len(other), e + d + 1)
-            made.append((_multiset(own[s : e + 1], other[lo:hi]) if hi > lo else 0.0, lo, hi))
+            if hi <= lo:
+                made.append((0.0, lo, hi))
+            elif once:
+                shared = int(((sites >= lo) & (sites < hi)).sum())
+                made.append((shared / max(1, e + 1 - s + hi - lo - shared), lo, hi))
+            else:
+                made.append((_multiset(sites, first_place[lo:hi], e + 1 - s - (j - i)), lo, hi))
         return max(made)
 
     # first as long as gaps allow; what isn't alike enough as a whole is parted where misses or a jump of the shift part its hits, ever finer
@@ -326,15 +351,26 @@ def _around(shingle: int, passage: int):
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many shingles of each interval of half the width and one more x has in common with y, each at its own place or beside it."""
+    """How many shingles of each interval of half the width x has in common with y, each at its own place or beside it.
+
+    The last column of both is 0, so rows are read one after the other as one sequence and no shingle meets those of another row.
+    """
+    n, width = x.shape
+    x, y = x.ravel(), y.ravel()
     hit = x == y
-    hit[:, 1:] |= x[:, 1:] == y[:, :-1]
-    hit[:, :-1] |= x[:, :-1] == y[:, 1:]
+    hit[1:] |= x[1:] == y[:-1]
+    hit[:-1] |= x[:-1] == y[1:]
     hit &= x > 0
-    total = np.zeros((len(x), x.shape[1] + 1), np.int16)
-    np.cumsum(hit, axis=1, out=total[:, 1:])
-    half = x.shape[1] // 2 + 1
-    return total[:, half:] - total[:, :-half]
+    # sums of 1, 2, 4 ... places; those that make up half the width are added
+    half = width // 2
+    part = hit.astype(np.uint8 if half < 256 else np.int32)
+    total, size, done = np.zeros_like(part), 1, 0
+    while size <= half:
+        if half & size:
+            total[: max(0, len(part) - done)] += part[done:]
+            done += size
+        part, size = part[:-size] + part[size:], 2 * size
+    return total.reshape(n, width)[:, :half]
 
 
 def nearest(group: np.ndarray, doc: np.ndarray, around: np.ndarray, at_least: float, every: bool = False) -> list[tuple[int, int]]:
@@ -348,50 +384,89 @@ def nearest(group: np.ndarray, doc: np.ndarray, around: np.ndarray, at_least: fl
     wide = width // 2
     need = int(np.ceil(2 * at_least / (1 + at_least) * (wide + 1) - 1e-9))
     side = wide // 2
-    bit = np.where(around > 0, U(1) << (mix(around.astype(U)) >> U(58)), U(0))
-    whole = np.stack([(around[:, wide - side : wide] > 0).all(axis=1), (around[:, wide + 1 : wide + 1 + side] > 0).all(axis=1)])
-    own = np.stack([np.bitwise_or.reduce(bit[:, wide - side : wide], axis=1), np.bitwise_or.reduce(bit[:, wide + 1 : wide + 1 + side], axis=1)])
-    other = ~np.stack([np.bitwise_or.reduce(bit[:, wide - side - 1 : wide + 1], axis=1), np.bitwise_or.reduce(bit[:, wide : wide + 2 + side], axis=1)])
+    values = np.arange(256, dtype=U)
+    bit = np.where(values > 0, U(1) << (mix(values) >> U(58)), U(0))[np.ascontiguousarray(around.T)]
+
+    def masks(spans: list[tuple[int, int]], beside: int = 0) -> np.ndarray:
+        return np.stack([np.bitwise_or.reduce(bit[max(0, lo - beside) : hi + beside], axis=0) for lo, hi in spans])
+
+    sides = [(wide - side, wide), (wide + 1, wide + 1 + side)]
+    whole = np.stack([(around[:, lo:hi] > 0).all(axis=1) for lo, hi in sides])
+    own, other = masks(sides), ~masks(sides, 1)
+    # each interval that holds the place holds BLOCKS neighbours of these blocks before and after it
+    long = wide // (BLOCKS + 1)
+    blocks = [(wide - k * long, wide - (k - 1) * long) for k in range(BLOCKS, 0, -1)] + [(wide + 1 + (k - 1) * long, wide + 1 + k * long) for k in range(1, BLOCKS + 1)]
+    block_own, block_other = masks(blocks), ~masks(blocks, 1)
+    beyond = [(around[:, lo:hi] == 0).sum(axis=1, dtype=np.uint8) for lo, hi in blocks]
     missing = wide + 1 - need
     best = np.full((n, wide + 1), -1, np.int64)  # of each interval of a window, by its start: shingles in common * n + n - 1 - source
+    padded = np.concatenate((around, np.zeros((n, 1), np.uint8)), axis=1)
 
     def scored(t: np.ndarray, s: np.ndarray) -> None:
-        spans = _shared(around[t], around[s])
-        some = np.flatnonzero(spans.max(axis=1) >= need)
+        spans = _shared(padded[t], padded[s])
+        some = np.flatnonzero((spans >= need).any(axis=1))
         if not len(some):
             return
         some = some[np.argsort(t[some], kind="stable")]
-        rank = np.where(spans[some] >= need, spans[some] * np.int64(n) + (n - 1 - s[some])[:, None], -1)
+        spans = spans[some].astype(np.int64)
+        rank = np.where(spans >= need, spans * n + (n - 1 - s[some])[:, None], -1)
         head = np.flatnonzero(np.append(True, np.diff(t[some]) > 0))
         at = t[some][head]
         best[at] = np.maximum(best[at], np.maximum.reduceat(rank, head, axis=0))
 
+    def near(t: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Whether BLOCKS neighbouring blocks of t lack few of their shingles in those of s; t may be a column of a table of pairs, s its row."""
+        lost = [np.bitwise_count(x[t] & y[s]) + z[t] for x, y, z in zip(block_own, block_other, beyond, strict=True)]
+        total = sum(lost[1:BLOCKS], lost[0])
+        few = total <= missing
+        for k in range(BLOCKS):
+            total = total - lost[k] + lost[k + BLOCKS]
+            few |= total <= missing
+        return few
+
     waiting, many = [], 0
-    for lag in range(1, n):
-        t = np.flatnonzero(group[lag:] == group[:-lag]) + lag
-        if not len(t):
-            break
-        s = t - lag
-        t, s = (x[doc[t] != doc[s]] for x in (t, s))
-        near = np.zeros(len(t), bool)
-        for k in (0, 1):  # the side that lies in the interval lacks few of its shingles in the other's
-            near |= whole[k][t] & (np.bitwise_count(own[k][t] & other[k][s]) <= missing)
-        waiting.append((t[near], s[near]))
-        many += int(near.sum())
-        if many >= PAIRS:
+
+    def wait(t: np.ndarray, s: np.ndarray, most: int = PAIRS) -> None:
+        """Scores the pairs, PAIRS at once, of which the side that lies in the interval lacks few of its shingles in the other's."""
+        nonlocal waiting, many
+        if len(t):
+            some = doc[t] != doc[s]
+            some &= np.logical_or.reduce([whole[k][t] & (np.bitwise_count(own[k][t] & other[k][s]) <= missing) for k in (0, 1)])
+            waiting.append((t[some], s[some]))
+            many += int(some.sum())
+        if many >= most:
             t, s = (np.concatenate(x) for x in zip(*waiting, strict=True))
             for i in range(0, len(t), PAIRS):
                 scored(t[i : i + PAIRS], s[i : i + PAIRS])
             waiting, many = [], 0
-    if many:
-        scored(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+
+    start = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, n))
+    # small groups meet all at once, row by row ahead; a large one as tables of pairs
+    small = np.flatnonzero(np.repeat(size <= TABLED, size))
+    of = group[small]
+    for lag in range(1, TABLED):
+        t = np.flatnonzero(of[lag:] == of[:-lag])
+        if not len(t):
+            break
+        t, s = small[t + lag], small[t]
+        some = near(t, s)
+        wait(t[some], s[some])
+    for lo, many_rows in zip(start[size > TABLED].tolist(), size[size > TABLED].tolist(), strict=True):
+        rows = max(1, 8 * PAIRS // many_rows)
+        for i in range(lo, lo + many_rows, rows):
+            t, s = np.arange(i, min(i + rows, lo + many_rows)), np.arange(lo, min(i + rows, lo + many_rows))
+            x, y = np.nonzero(near(t[:, None], s[None, :]))
+            some = t[x] > s[y]
+            wait(t[x[some]], s[y[some]])
+    wait(np.zeros(0, np.int64), np.zeros(0, np.int64), 1)
     likest = np.stack([best[:, : wide - side + 1].max(axis=1), best[:, side:].max(axis=1)]) if n else np.zeros((2, 0), np.int64)
     found = [(t, n - 1 - likest[k, t] % n) for k in (0, 1) for t in (np.flatnonzero(likest[k] >= 0),)]
     if every:
 
         def settle(t: np.ndarray, s: np.ndarray) -> None:
             # what some window shares whole, one that shares it whole must settle
-            best[t] = np.where(_shared(around[t], around[s]) >= np.where(best[t] // n > wide, wide + 1, need), -1, best[t])
+            best[t] = np.where(_shared(padded[t], padded[s]) >= np.where(best[t] // n > wide, wide + 1, need), -1, best[t])
 
         for t, s in found:
             settle(t, s)

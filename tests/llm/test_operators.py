@@ -415,6 +415,52 @@ def test_nearest_shares_every_interval_that_an_earlier_window_shares():
     assert of(every) == want and of(two) < want and set(two) <= set(every)
 
 
+def test_nearest_compares_few_of_the_pairs_that_share_a_phrase_only(monkeypatch):
+    # 400 windows share a phrase of 25 shingles after their places, 200 are short ones, of 30 shingles before; three pairs share all
+    rng = np.random.default_rng(9)
+    around = rng.integers(1, 256, (600, 91)).astype(np.uint8)
+    around[:, 45:70] = around[0, 45:70]
+    around[400:, :15], around[400:, 60:] = 0, 0
+    for k in (50, 250, 450):
+        around[k + 100] = around[k]
+    compared = []
+    shared = windows._shared
+    monkeypatch.setattr(windows, "_shared", lambda x, y: compared.append(len(x)) or shared(x, y))
+    assert set(windows.nearest(np.zeros(600, int), np.arange(600), around, 0.8)) == {(k, k + 100) for k in (50, 250, 450)}
+    assert sum(compared) < 0.05 * 600 * 599 / 2
+
+
+def test_nearest_finds_the_same_by_tables_and_row_by_row(monkeypatch):
+    rng = np.random.default_rng(10)
+    around = np.tile(rng.integers(1, 256, (5, 91)).astype(np.uint8), (60, 1))
+    for k in range(300):
+        for at in rng.choice(91, rng.integers(0, 14), replace=False):
+            around[k, at] = rng.integers(1, 256)
+        around[k, : rng.integers(0, 40)] = 0
+    group, doc = np.sort(rng.integers(0, 3, 300)), np.sort(rng.integers(0, 200, 300))
+    found = []
+    for rows_at_most in (1, 90, 1_000):
+        monkeypatch.setattr(windows, "TABLED", rows_at_most, raising=False)
+        found.append([windows.nearest(group, doc, around, 0.8, every=x) for x in (False, True)])
+    assert found[0] == found[1] == found[2] and len(found[0][0]) > 100
+    assert all(group[s] == group[t] and doc[s] < doc[t] for s, t in found[0][1])
+
+
+def test_shared_passages_likeness_matches_multisets_of_repeated_shingles():
+    # the likeness of each passage, also of texts whose shingles repeat, is that of the multisets of its shingles
+    rng = np.random.default_rng(14)
+    for kinds in (8, 40, 1 << 40):
+        for _ in range(40):
+            own = rng.integers(1, kinds, 150).astype(np.uint64)
+            other = np.concatenate((rng.integers(1, kinds, 30).astype(np.uint64), own))
+            other[rng.choice(len(other), 6, replace=False)] = 0
+            found = windows.shared_passages(own, other)
+            for s, e, x, y, like in found:
+                a, b = Counter(own[s : e - 4].tolist()), Counter(other[x : y - 4].tolist())
+                assert abs(like - sum((a & b).values()) / sum((a | b).values())) < 1e-12
+            assert found
+
+
 def test_repeated_passages_hold_both_of_two_overlapping_passages(spark):
     # a document holds a and b and c; an earlier one a and b, the first one b and c: the least id must not hide the other
     rng = np.random.default_rng(13)
