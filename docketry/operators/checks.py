@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.functions.joins import large
 from docketry.functions.text import contains_any, is_specific_code
 from docketry.rules import checks as rules
 
@@ -41,7 +42,7 @@ def narrative_checks(runs: DataFrame, codes: DataFrame) -> DataFrame:
     """
     text, paths = F.lower(F.concat_ws("\n", "path_titles", "narrative")), F.lower("path_titles")
     many = codes.groupBy("run_id").agg(F.count("*").alias("n"))
-    rows = runs.join(many, "run_id", "left")
+    rows = runs.join(large(many), "run_id", "left")
     checks = narrative_tests(text, paths, F.col("detected"), F.col("flags"), F.coalesce("n", F.lit(0)))
     found = rows.select("run_id", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(code)) for code, test in checks]))).alias("code"), F.lit("").alias("detail"))
     return found.unionByName(codes.where(~is_specific_code(F.col("code"))).select("run_id", F.lit("INVALID_ECCN_CANDIDATE").alias("code"), F.col("code").alias("detail")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import text as tx
+from docketry.functions.joins import large
 from docketry.rules import wording
 from docketry.rules.signals import SIGNALS
 
@@ -98,7 +99,7 @@ def contradictory_pairs(evidence: DataFrame) -> DataFrame:
     """Each present with each absent row of a signal: blocking unless both name a scope and the scopes differ."""
     left = evidence.where("polarity = 'present'").select("doc_id", "signal", F.col("evidence_id").alias("evidence_a"), F.col("scope").alias("scope_a"))
     right = evidence.where("polarity = 'absent'").select("doc_id", "signal", F.col("evidence_id").alias("evidence_b"), F.col("scope").alias("scope_b"))
-    pairs = left.join(right, ["doc_id", "signal"])
+    pairs = left.join(large(right), ["doc_id", "signal"])
     by_scope = F.col("scope_a").isNotNull() & F.col("scope_b").isNotNull() & (F.col("scope_a") != F.col("scope_b"))
     return pairs.select(
         "doc_id", "signal", "evidence_a", "evidence_b", F.when(by_scope, "configuration_conflict").otherwise("explicit_positive_vs_negative").alias("kind"),
@@ -118,4 +119,4 @@ def affirmed_crypto(docs: DataFrame) -> DataFrame:
     terms = F.array_compact(F.array(*[F.when(tx.term_found(lowered, t), F.lit(t)) for t in wording.CRYPTO_TERMS]))
     found = lines.withColumn("terms", terms).where((F.size("terms") > 0) & (tx.line_polarity(F.col("line")) == "affirmed"))
     found = found.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.col("terms").isNotNull().alias("supported"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+    return docs.select("doc_id").join(large(found), "doc_id", "left").select("doc_id", F.col("terms").isNotNull().alias("supported"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))

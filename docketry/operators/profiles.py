@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docketry.functions.joins import large
 from docketry.rules import profiles as rules
 from docketry.rules.signals import SIGNALS
 
@@ -17,7 +18,7 @@ def rule_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame
 def score_signals(evidence: DataFrame, effective: DataFrame) -> DataFrame:
     """(doc_id, signal, contribution, terms, quotes, evidence_ids) of signals whose effective polarity is present."""
     weights = rule_table(evidence.sparkSession, [(k, w) for k, _, w, _ in SIGNALS], "signal string, weight int")
-    rows = evidence.where("polarity = 'present'").join(effective.where("effective = 'present'").select("doc_id", "signal"), ["doc_id", "signal"])
+    rows = evidence.where("polarity = 'present'").join(large(effective.where("effective = 'present'").select("doc_id", "signal")), ["doc_id", "signal"])
     # sentences arrive in no order after a shuffle: sort by start, then cut
     ordered = F.array_sort(F.collect_list(F.struct("start", "quote", "evidence_id")))
     made = rows.groupBy("doc_id", "signal").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"), ordered.alias("rows"))
@@ -41,13 +42,13 @@ def eligible_profiles(scores: DataFrame, effective: DataFrame, contradictions: D
     limits = rule_table(spark, [(p, n, t) for p, _, _, n, t in rules.CONTRACTS], "profile string, least_positive int, threshold int")
     blocked = contradictions.where("severity = 'blocking' AND resolution = 'unresolved'").select("doc_id", "signal").distinct().withColumn("blocked", F.lit(True))
     required = F.col("role") == "required"
-    seen = effective.join(blocked, ["doc_id", "signal"], "left").join(contract, "signal").groupBy("doc_id", "profile").agg(
+    seen = effective.join(large(blocked), ["doc_id", "signal"], "left").join(contract, "signal").groupBy("doc_id", "profile").agg(
         F.count_if(required & (F.col("effective") == "present")).alias("positive"),
         F.bool_or((F.col("role") == "excluded") & (F.col("effective") == "absent")).alias("excluded"),
         F.bool_or(required & F.coalesce("blocked", F.lit(False))).alias("blocked"),
     )
     # a profile may have a score from signals that its contract doesn't name, or evidence without a score
-    every = scores.join(seen, ["doc_id", "profile"], "full").join(limits, "profile").withColumn("score", F.coalesce("score", F.lit(0))).withColumn("positive", F.coalesce("positive", F.lit(0)).cast("int"))
+    every = scores.join(large(seen), ["doc_id", "profile"], "full").join(limits, "profile").withColumn("score", F.coalesce("score", F.lit(0))).withColumn("positive", F.coalesce("positive", F.lit(0)).cast("int"))
     bad = F.coalesce("excluded", F.lit(False)) | F.coalesce("blocked", F.lit(False)) | (F.col("positive") < F.col("least_positive"))
     state = F.when(bad, "ineligible").when(F.col("score") < F.col("threshold"), "insufficient_score").otherwise("eligible")
     return every.select("doc_id", "profile", "score", state.alias("state"), "positive")
@@ -68,7 +69,7 @@ def rank_profiles(docs: DataFrame, eligibility: DataFrame) -> DataFrame:
     first = F.min(near).over(by_doc)
     found = found.withColumn("near", near).withColumn("first", first).withColumn("ahead", F.when(F.col("near") == F.col("first"), 0).otherwise(1))
     ranked = found.withColumn("rank", F.row_number().over(by_doc.orderBy("ahead", F.desc("score"), _priority(F.col("profile"))))).select("doc_id", "rank", "profile", "score")
-    none = docs.select("doc_id").join(ranked.select("doc_id").distinct(), "doc_id", "left_anti")
+    none = docs.select("doc_id").join(large(ranked.select("doc_id").distinct()), "doc_id", "left_anti")
     return ranked.unionByName(none.select("doc_id", F.lit(1).alias("rank"), F.lit("unknown").alias("profile"), F.lit(0).alias("score")))
 
 
@@ -107,10 +108,10 @@ def propose_candidates(paths: DataFrame, crypto: DataFrame) -> DataFrame:
     """(doc_id, ordinal, code, candidate_type, path_key): the crypto code is blocked without affirmed crypto evidence."""
     codes = rule_table(paths.sparkSession, list(rules.CANDIDATES), "path_key string, at int, code string")
     kind = F.when((F.col("code") == "5A002") & ~F.coalesce("supported", F.lit(False)), "blocked_candidate").otherwise("review_candidate")
-    rows = paths.join(codes, "path_key").join(crypto.select("doc_id", "supported"), "doc_id", "left").withColumn("candidate_type", kind)
+    rows = paths.join(codes, "path_key").join(large(crypto.select("doc_id", "supported")), "doc_id", "left").withColumn("candidate_type", kind)
     return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal", "at")).alias("ordinal"), "code", "candidate_type", "path_key")
 
 
 def blocked_families(paths: DataFrame, candidates: DataFrame) -> DataFrame:
     """(doc_id, path_key, family): opened paths without a candidate, but for the general fallback."""
-    return paths.where("path_key <> 'general_electronics_fallback'").join(candidates.select("doc_id", "path_key"), ["doc_id", "path_key"], "left_anti").select("doc_id", "path_key", F.col("title").alias("family"))
+    return paths.where("path_key <> 'general_electronics_fallback'").join(large(candidates.select("doc_id", "path_key")), ["doc_id", "path_key"], "left_anti").select("doc_id", "path_key", F.col("title").alias("family"))

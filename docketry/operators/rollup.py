@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.functions.joins import large
 from docketry.functions.text import is_specific_code, squash_ws
 from docketry.operators.checks import narrative_tests
 from docketry.operators.facts import capability_keys
@@ -30,7 +31,7 @@ def decision_rollup(docs: DataFrame, evidence: DataFrame, paths: DataFrame, requ
     opened = paths.select("doc_id").distinct().withColumn("opened", F.lit(True))
     rows = docs.select("doc_id")
     for part in (told, unmet, counts, opened, scores.select("doc_id", "confidence")):
-        rows = rows.join(part, "doc_id", "left")
+        rows = rows.join(large(part), "doc_id", "left")
     none = F.array().cast("array<string>")
     return rows.select(
         "doc_id", F.when(F.col("specific"), "configuration_specific").otherwise("mixed_or_unspecified").alias("scope"), F.coalesce("optional", none).alias("optional"), F.coalesce("missing", none).alias("missing"), F.coalesce("limited", F.lit(False)).alias("limited"),
@@ -62,7 +63,7 @@ def comparison_section(memos: DataFrame, matches: DataFrame) -> DataFrame:
     parts = [section(i, n) for i, n in enumerate(("Product precedents", "Contrast records", "Relevant counsel guidance", "Relevant internal policy"))]
     text = F.when(F.col("m").isNull(), F.lit(f"{HEADER}\n{NOTHING}")).otherwise(F.concat_ws("\n", F.lit(HEADER), *parts, F.lit(ENDING)))
     before = F.rtrim(F.substring_index(F.coalesce("markdown", F.lit("")), f"\n{HEADER}", 1), F.lit(" \t\n\r"))
-    return memos.join(held, "run_id", "left").select("run_id", F.concat(before, F.lit("\n\n"), text, F.lit("\n")).alias("markdown"))
+    return memos.join(large(held), "run_id", "left").select("run_id", F.concat(before, F.lit("\n\n"), text, F.lit("\n")).alias("markdown"))
 
 
 def integrity_backfill(runs: DataFrame, candidates: DataFrame, issues: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,7 +78,7 @@ def integrity_backfill(runs: DataFrame, candidates: DataFrame, issues: DataFrame
     made = candidates.withColumn("is_specific", valid).withColumn("created", ~valid & F.col("path_id").isNull()).withColumn("path_id", F.when(~valid, F.coalesce("path_id", fresh)).otherwise(F.col("path_id")))
     many = made.groupBy("run_id").agg(F.count_if(~F.col("is_specific")).alias("invalid"), F.count_if("created").alias("created_paths"))
     found = issues.groupBy("run_id").agg(F.count("*").alias("issues"))
-    rows = runs.join(many, "run_id", "left").join(found, "run_id", "left").fillna(0, ["invalid", "created_paths", "issues"])
+    rows = runs.join(large(many), "run_id", "left").join(large(found), "run_id", "left").fillna(0, ["invalid", "created_paths", "issues"])
     again = F.col("issues") > 0
     summary = rows.select("run_id", F.when(again & (F.col("status") != "failed"), "needs_attention").otherwise(F.col("status")).alias("status"), "invalid", "created_paths", "issues", again.alias("regenerate"))
     return summary, made.drop("created")

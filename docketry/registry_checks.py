@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry import views
+from docketry.functions.joins import large
 from docketry.operators import checks as ck
 from docketry.operators import history as hs
 from docketry.oracles import STEPS, holds, text
@@ -40,7 +41,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     titles = c.paths.where("doc_id % 4 <> 0").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "title"))), lambda x: x["title"]), " ").alias("path_titles"))
     many = c.candidates.groupBy("doc_id").agg(F.count("*").alias("candidates"))
     profile = F.when(F.col("doc_id") % 3 == 0, "general_electronics").otherwise(F.col("profile"))
-    rows = docs.join(c.ranked.where("rank = 1").select("doc_id", "profile"), "doc_id").join(spark.sql(_MEMOS).withColumnRenamed("run_id", "doc_id"), "doc_id").join(titles, "doc_id", "left").join(many, "doc_id", "left")
+    rows = docs.join(large(c.ranked.where("rank = 1").select("doc_id", "profile")), "doc_id").join(large(spark.sql(_MEMOS).withColumnRenamed("run_id", "doc_id")), "doc_id").join(large(titles), "doc_id", "left").join(large(many), "doc_id", "left")
     lists = [F.filter(F.split(k, r"\|"), lambda x: x != "").alias(k) for k in ("detected", "flags")]
     runs = rows.select(F.col("doc_id").alias("run_id"), F.col("text").alias("source"), profile.alias("profile"), F.coalesce("path_titles", F.lit("")).alias("path_titles"), F.col("markdown").alias("memo"), F.col("markdown").alias("narrative"), F.coalesce("candidates", F.lit(0)).alias("candidates"), "history", *lists)
     return runs, c.candidates
