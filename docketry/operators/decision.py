@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.functions.joins import large
 from docketry.functions.text import is_specific_code
 from docketry.operators.profiles import rule_table
 from docketry.rules import decision as rules
@@ -20,7 +21,7 @@ def resolve_profile(forms: DataFrame, ranked: DataFrame) -> DataFrame:
     """(doc_id, form, profile, overridden): the form's own profile, else the first of the ranked ones."""
     own = rule_table(forms.sparkSession, list(rules.FORM_PROFILES), "form string, form_profile string")
     first = ranked.where("rank = 1").select("doc_id", F.col("profile").alias("ranked_profile"))
-    rows = forms.join(own, "form", "left").join(first, "doc_id", "left")
+    rows = forms.join(own, "form", "left").join(large(first), "doc_id", "left")
     profile = F.coalesce("form_profile", "ranked_profile")
     return rows.select("doc_id", "form", profile.alias("profile"), F.coalesce(profile != F.col("ranked_profile"), F.lit(False)).alias("overridden"))
 
@@ -40,7 +41,7 @@ def canonical_paths(evidence: DataFrame, forms: DataFrame) -> DataFrame:
     leads = rule_table(spark, [(k, s) for k, _, signals, _ in rules.CANONICAL for s in signals], "path_key string, signal string")
     direct = evidence.where("polarity IN ('present', 'ambiguous')").join(leads, "signal").select("doc_id", "path_key", "evidence_id", "polarity")
     opened = direct.where("path_key = 'sensor_industrial'").select("doc_id").distinct()
-    gateways = evidence.where(F.lower("quote").contains("gateway")).join(forms.where("form = 'gateway'").select("doc_id"), "doc_id", "left_semi").join(opened, "doc_id", "left_anti")
+    gateways = evidence.where(F.lower("quote").contains("gateway")).join(large(forms.where("form = 'gateway'").select("doc_id")), "doc_id", "left_semi").join(large(opened), "doc_id", "left_anti")
     rows = direct.unionByName(gateways.select("doc_id", F.lit("sensor_industrial").alias("path_key"), "evidence_id", "polarity"))
     return rows.groupBy("doc_id", "path_key").agg(
         F.countDistinct("evidence_id").alias("triggers"), F.when(F.bool_and(F.col("polarity") == "ambiguous"), "configuration_dependent").otherwise("direct_positive").alias("trigger_type")
@@ -59,13 +60,13 @@ def assess_requirements(paths: DataFrame, forms: DataFrame, evidence: DataFrame)
     own = rule_table(spark, [(k, r) for k, _, _, required in rules.CANONICAL for r in required], "path_key string, requirement string")
     of_form = rule_table(spark, [(f, r) for f, required in rules.FORM_REQUIREMENTS for r in required], "form string, requirement string")
     asked = paths.join(own, "path_key").select("doc_id", "path_key", "requirement").unionByName(
-        paths.join(forms, "doc_id").join(of_form, "form").select("doc_id", "path_key", "requirement")
+        paths.join(large(forms), "doc_id").join(of_form, "form").select("doc_id", "path_key", "requirement")
     ).distinct()
     quote = F.lower("quote")
     # keywords are literals of one projection over the quotes, not a column to join by
     shown = F.array_compact(F.array(*[F.when(F.greatest(*[quote.contains(k) for k in ks], F.lit(False)), F.lit(r)) for r, ks in rules.KEYWORDS]))
     met = evidence.where("polarity = 'present'").select("doc_id", F.explode(shown).alias("requirement")).distinct().withColumn("met", F.lit(True))
-    return asked.join(met, ["doc_id", "requirement"], "left").select("doc_id", "path_key", "requirement", F.coalesce("met", F.lit(False)).alias("satisfied"))
+    return asked.join(large(met), ["doc_id", "requirement"], "left").select("doc_id", "path_key", "requirement", F.coalesce("met", F.lit(False)).alias("satisfied"))
 
 
 def gate_candidates(candidates: DataFrame, paths: DataFrame, requirements: DataFrame, regulations: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def gate_candidates(candidates: DataFrame, paths: DataFrame, requirements: DataF
         F.array_sort(F.collect_set(F.concat(F.replace("requirement", F.lit(" "), F.lit("_")), F.lit("_unknown")))).alias("unmet")
     )
     current = regulations.where("verification_status = 'current'").select("code").distinct().withColumn("current", F.lit(True))
-    rows = rows.join(opened, ["doc_id", "canonical"], "left").join(unmet, ["doc_id", "canonical"], "left").join(current, "code", "left")
+    rows = rows.join(large(opened), ["doc_id", "canonical"], "left").join(large(unmet), ["doc_id", "canonical"], "left").join(current, "code", "left")
     closed = F.col("opened").isNull()
     reasons = F.array_compact(F.array(
         F.when(closed, F.lit("review_path_not_open")), F.when(closed, F.lit("no_positive_path_trigger_evidence")), F.when(F.col("current").isNull(), F.lit("current_regulatory_text_unavailable"))
@@ -93,7 +94,7 @@ def gate_candidates(candidates: DataFrame, paths: DataFrame, requirements: DataF
 def candidate_transitions(gated: DataFrame, prior: DataFrame) -> DataFrame:
     """(doc_id, code, from_stage, to_status, reasons): each gate's outcome, and prior codes that were not proposed again.  prior(doc_id, code)."""
     now = gated.select("doc_id", "code", F.lit("deterministic_candidate_rules").alias("from_stage"), F.col("status").alias("to_status"), "reasons")
-    gone = prior.join(gated, ["doc_id", "code"], "left_anti").distinct()
+    gone = prior.join(large(gated), ["doc_id", "code"], "left_anti").distinct()
     return now.unionByName(gone.select("doc_id", "code", F.lit("backend_local_rules").alias("from_stage"), F.lit("withdrawn").alias("to_status"), F.array(F.lit("not_reproposed_by_canonical_path_rules")).alias("reasons")))
 
 
