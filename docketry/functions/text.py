@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from re import _constants as sre
+from re import _parser as parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,6 +83,38 @@ def contains_any(c: Column, terms: tuple[str, ...]) -> Column:
     return reduce(Column.__or__, [c.contains(t) for t in terms])
 
 
+def needles(pattern: str) -> tuple[str, ...]:
+    """Words of which each match of the pattern, without regard to case, holds one at least; none if the pattern tells none."""
+
+    def of(items) -> set[str] | None:
+        found, run = [], ""
+        for op, arg in [*items, (None, None)]:
+            if op is sre.LITERAL:
+                run += chr(arg).lower()
+                continue
+            found.append({run} if run else None)
+            run = ""
+            if op is sre.SUBPATTERN:
+                found.append(of(arg[-1]))
+            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] > 0:
+                found.append(of(arg[-1]))
+            elif op is sre.BRANCH:
+                ways = [of(way) for way in arg[1]]
+                found.append(set().union(*ways) if all(ways) else None)
+        return max((f for f in found if f), key=lambda f: min(map(len, f)), default=None)
+
+    words = of(parser.parse(pattern))
+    return tuple(sorted(words)) if words and all(w.isascii() for w in words) else ()
+
+
+def first_found(text: Column, low: Column, pattern: str) -> Column:
+    """struct<start, stop> of the first match without regard to case, 0-based; null without one.  low is the text in lower case: a search for words is far cheaper than one by pattern, and most texts hold none of them."""
+    start = F.regexp_instr(text, F.lit(f"(?i){pattern}")) - 1
+    span = F.transform(F.array(start), lambda s: F.when(s >= 0, F.struct(s.alias("start"), (s + F.length(F.regexp_extract(text, f"(?i){pattern}", 0))).alias("stop"))))[0]
+    words = needles(pattern)
+    return F.when(contains_any(low, words), span) if words else span
+
+
 def bounded(terms: tuple[str, ...]) -> str:
     """A pattern for any of the terms with no letter or digit on either side."""
     return "(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in terms) + ")(?![a-z0-9])"

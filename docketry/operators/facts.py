@@ -8,32 +8,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import text as tx
+from docketry.functions.joins import large
 from docketry.operators.profiles import rule_table
 from docketry.rules import facts as rules
 
 SCHEMA = ("doc_id", "fact_ord", "name", "value", "unit", "snippet", "category", "confidence")
 
 
-def _first(text: Column, pattern: str) -> tuple[Column, Column]:
-    """0-based start and end of the first match; start -1 without one."""
-    start = F.regexp_instr(text, F.lit(pattern)) - 1
-    return start, start + F.length(F.regexp_extract(text, pattern, 0))
+def _lowered(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, low): the text, empty for null, and its lower case."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("low", F.lower("text"))
 
 
 def extract_facts(docs: DataFrame, patterns: tuple = rules.FACTS) -> DataFrame:
     """(doc_id, fact_ord, name, value, unit, snippet, category, confidence): the first match of each pattern.
 
-    All patterns are literals of one projection, so they are compiled once and the text is read once.
+    All patterns are literals of one projection, so they are compiled once and the text is read once; only those are
+    searched for of which the text holds a word.
     """
-    text = F.coalesce("text", F.lit(""))
+    text = F.col("text")
 
     def fact(i: int, name: str, value: str, category: str, confidence: str, pattern: str) -> Column:
-        start, end = _first(text, f"(?i){pattern}")
-        made = F.struct(F.lit(i).alias("fact_ord"), F.lit(name).alias("name"), F.lit(value).alias("value"), F.lit(None).cast("string").alias("unit"), tx.line_at(text, start, end).alias("snippet"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"))
-        return F.when(start >= 0, made)
+        made = lambda m: F.struct(F.lit(i).alias("fact_ord"), F.lit(name).alias("name"), F.lit(value).alias("value"), F.lit(None).cast("string").alias("unit"), tx.line_at(text, m["start"], m["stop"]).alias("snippet"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"))
+        return tx.bound(tx.first_found(text, F.col("low"), pattern), made)
 
     found = F.array_compact(F.array(*[fact(i, *rule) for i, rule in enumerate(patterns)]))
-    return docs.select("doc_id", F.inline(found))
+    return _lowered(docs).select("doc_id", F.inline(found))
 
 
 def qualified(value: Column, qualifier: Column) -> Column:
@@ -46,16 +46,14 @@ def qualified(value: Column, qualifier: Column) -> Column:
 
 def extract_measures(docs: DataFrame, measures: tuple = rules.MEASURES) -> DataFrame:
     """The first value with a unit of each measure, in the columns of facts."""
-    text = F.coalesce("text", F.lit(""))
+    text = F.col("text")
 
     def fact(i: int, name: str, pattern: str, category: str) -> Column:
-        p = f"(?i){pattern}"
-        start, end = _first(text, p)
-        part = lambda k: F.regexp_extract(text, p, k)
-        made = F.struct(F.lit(1000 + i).alias("fact_ord"), F.lit(name).alias("name"), qualified(part(2), part(1)).alias("value"), part(3).alias("unit"), tx.line_at(text, start, end).alias("snippet"), F.lit(category).alias("category"), F.lit("high").alias("confidence"))
-        return F.when(start >= 0, made)
+        part = lambda k: F.regexp_extract(text, f"(?i){pattern}", k)
+        made = lambda m: F.struct(F.lit(1000 + i).alias("fact_ord"), F.lit(name).alias("name"), qualified(part(2), part(1)).alias("value"), part(3).alias("unit"), tx.line_at(text, m["start"], m["stop"]).alias("snippet"), F.lit(category).alias("category"), F.lit("high").alias("confidence"))
+        return tx.bound(tx.first_found(text, F.col("low"), pattern), made)
 
-    return docs.select("doc_id", F.inline(F.array_compact(F.array(*[fact(i, *m) for i, m in enumerate(measures)]))))
+    return _lowered(docs).select("doc_id", F.inline(F.array_compact(F.array(*[fact(i, *m) for i, m in enumerate(measures)]))))
 
 
 def ecc_context(c: Column) -> Column:
@@ -131,7 +129,7 @@ def review_groups(facts: DataFrame) -> DataFrame:
     groups = rule_table(facts.sparkSession, list(rules.REVIEW_GROUPS), "category string, review_group string")
     own = facts.join(groups, "category").groupBy("doc_id", "review_group").agg(F.count("*").alias("facts"))
     count = facts.groupBy("doc_id").agg(F.least(F.count("*"), F.lit(3)).alias("facts"))
-    bare = count.join(own.where(F.col("review_group") == rules.FALLBACK_GROUP), "doc_id", "left_anti").select("doc_id", F.lit(rules.FALLBACK_GROUP).alias("review_group"), "facts")
+    bare = count.join(large(own.where(F.col("review_group") == rules.FALLBACK_GROUP)), "doc_id", "left_anti").select("doc_id", F.lit(rules.FALLBACK_GROUP).alias("review_group"), "facts")
     return own.unionByName(bare)
 
 
@@ -146,7 +144,7 @@ def missing_review_points(docs: DataFrame, facts: DataFrame) -> DataFrame:
         (any_name("radiation_tolerance", "space_qualification", "military_grade", "operating_temperature_range") | F.bool_or(F.col("category") == "environmental_qualification")).alias("environment"),
         (any_name("security_feature", "cryptographic_algorithm", "secure_boot", "trusted_execution") | F.bool_or(F.col("category") == "security_cryptography")).alias("security"),
     )
-    rows = docs.select("doc_id").join(had, "doc_id", "left")
+    rows = docs.select("doc_id").join(large(had), "doc_id", "left")
     no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
     is_converter = ~no("converter")
     points = F.array_compact(F.array(
@@ -159,9 +157,10 @@ def missing_review_points(docs: DataFrame, facts: DataFrame) -> DataFrame:
 def fact_issues(facts: DataFrame) -> DataFrame:
     """(doc_id, fact_ord, issue_type, fact_name): each fact that repeats name and value, and family overviews."""
     n = F.row_number().over(Window.partitionBy("doc_id", "name", "value").orderBy("fact_ord"))
-    again = facts.withColumn("n", n).where("n > 1").select("doc_id", "fact_ord", F.lit("duplicate").alias("issue_type"), F.col("name").alias("fact_name"))
-    family = facts.where("name = 'is_family_overview' AND value = 'true'").select("doc_id", "fact_ord", F.lit("family_scope_warning").alias("issue_type"), F.col("name").alias("fact_name"))
-    return again.unionByName(family)
+    overview = (F.col("name") == "is_family_overview") & (F.col("value") == "true")
+    # one pass over the facts
+    kinds = F.array_compact(F.array(F.when(F.col("n") > 1, F.lit("duplicate")), F.when(overview, F.lit("family_scope_warning"))))
+    return facts.withColumn("n", n).select("doc_id", "fact_ord", F.explode(kinds).alias("issue_type"), F.col("name").alias("fact_name"))
 
 
 def default_profile(facts: DataFrame) -> DataFrame:
@@ -183,7 +182,7 @@ def capability_signals(docs: DataFrame, facts: DataFrame) -> DataFrame:
     found = facts.select("doc_id", "fact_ord", "name", F.explode(capability_keys()).alias("key")).groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("fact_ord", "name"))).alias("f"))
     every = docs.select("doc_id", F.explode(F.array(*[F.lit(k) for k, _, _ in rules.CAPABILITIES])).alias("key"))
     n = F.coalesce(F.size("f"), F.lit(0))
-    return every.join(found, ["doc_id", "key"], "left").select("doc_id", "key", (n > 0).alias("detected"), F.when(n >= 3, "high").when(n >= 1, "medium").otherwise("low").alias("confidence"), F.coalesce(F.col("f.name"), F.array().cast("array<string>")).alias("names"))
+    return every.join(large(found), ["doc_id", "key"], "left").select("doc_id", "key", (n > 0).alias("detected"), F.when(n >= 3, "high").when(n >= 1, "medium").otherwise("low").alias("confidence"), F.coalesce(F.col("f.name"), F.array().cast("array<string>")).alias("names"))
 
 
 def extract_markers(docs: DataFrame, most: int = rules.MOST_MARKERS) -> DataFrame:
@@ -201,7 +200,7 @@ def fact_evidence(facts: DataFrame, docs: DataFrame, terms: tuple) -> DataFrame:
     """(doc_id, fact_ord, signal): facts as evidence of signals if their quote stands in the source, is one sentence and is no generated fact.  terms: (signal, profiles, weight, terms)."""
     quote = tx.squash_ws(F.col("snippet"))
     whole = docs.select("doc_id", F.lower(tx.squash_ws(F.col("text"))).alias("source"))
-    rows = facts.where(~F.col("category").isin("profile_detection", "normalized_technical_signal") & ~F.col("name").startswith("heuristic_signal_")).join(whole, "doc_id")
+    rows = facts.where(~F.col("category").isin("profile_detection", "normalized_technical_signal") & ~F.col("name").startswith("heuristic_signal_")).join(large(whole), "doc_id")
     one = F.size(F.regexp_extract_all(quote, F.lit(r"[^.!?\n\r]+[.!?]*"), F.lit(0))) == 1
     rows = rows.where((quote != "") & F.col("source").contains(F.lower(quote)) & one)
     low = F.lower(F.concat_ws(" ", "name", "value", quote))
@@ -217,7 +216,7 @@ def signal_facts(signals: DataFrame, facts: DataFrame, profiles: tuple) -> DataF
         kind.append((key, "security_cryptography" if "security" in text or "crypto" in text else "compute_performance" if "comput" in text or "accelerator" in text else "rf_microwave" if "rf_" in text or "wireless" in text else "normalized_technical_signal"))
     rows = signals.join(rule_table(signals.sparkSession, kind, "signal string, category string"), "signal")
     rows = rows.select("doc_id", F.concat(F.lit("heuristic_signal_"), "signal").alias("name"), F.array_join("terms", ", ").alias("value"), "category")
-    return rows.join(facts.select("doc_id", "name").distinct(), ["doc_id", "name"], "left_anti")
+    return rows.join(large(facts.select("doc_id", "name").distinct()), ["doc_id", "name"], "left_anti")
 
 
 def security_floor(facts: DataFrame, scores: DataFrame) -> DataFrame:
@@ -225,4 +224,4 @@ def security_floor(facts: DataFrame, scores: DataFrame) -> DataFrame:
     hay = F.lower(F.concat_ws(" ", "name", "value", "snippet"))
     secure = facts.where((F.col("category") == "security_cryptography") & tx.contains_any(hay, rules.PLATFORM_SECURITY)).select("doc_id").distinct()
     scored = scores.where("profile = 'firmware_or_security_software'").select("doc_id")
-    return scores.unionByName(secure.join(scored, "doc_id", "left_anti").select("doc_id", F.lit("firmware_or_security_software").alias("profile"), F.lit(2).cast(scores.schema["score"].dataType).alias("score")))
+    return scores.unionByName(secure.join(large(scored), "doc_id", "left_anti").select("doc_id", F.lit("firmware_or_security_software").alias("profile"), F.lit(2).cast(scores.schema["score"].dataType).alias("score")))

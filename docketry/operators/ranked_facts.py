@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import text as tx
+from docketry.functions.joins import large
 from docketry.operators.facts import SCHEMA
 from docketry.rules import facts as rules
 
@@ -35,7 +36,8 @@ def rank_manufacturer(docs: DataFrame) -> DataFrame:
     """(doc_id, value, snippet, confidence): the mention of least score, the earlier one of equals.
 
     Mentions begin at 50; a data sheet nearby, a notice and an early place take 35, 10
-    and 8 off; boilerplate doesn't count.  The head of the text is tried first.
+    and 8 off; boilerplate doesn't count.  The head of the text is tried first, the
+    whole only if it is longer and the head names none.
     """
     names = r"\b(" + "|".join(rules.MANUFACTURERS) + r")\b"
     rows = docs.select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit("")).alias("body")).withColumn("top", F.substring("body", 1, rules.MAKER_TOP))
@@ -50,10 +52,11 @@ def rank_manufacturer(docs: DataFrame) -> DataFrame:
             return F.struct((50 - less).alias("score"), m["start"].alias("start"), m["name"].alias("name"), m["line"].alias("line"))
 
         weak = lambda m: tx.contains_any(F.lower(m["line"]), rules.MAKER_BOILERPLATE) | tx.contains_any(m["near"], rules.MAKER_BOILERPLATE)
-        return F.array_min(F.transform(F.filter(F.transform(F.col(f"{c}_spans"), seen), lambda m: ~weak(m)), scored))
+        return F.array_min(F.transform(F.filter(F.transform(spans(F.col(c), names), seen), lambda m: ~weak(m)), scored))
 
-    rows = rows.withColumns({"top_spans": spans(F.col("top"), names), "body_spans": spans(F.col("body"), names)})
-    rows = rows.select("doc_id", F.coalesce(best("top"), best("body")).alias("m")).where("m IS NOT NULL")
+    rows = rows.where(tx.contains_any(F.lower("body"), tuple(name.lower() for name in rules.MANUFACTURERS)))
+    rows = rows.withColumn("m", best("top"))
+    rows = rows.withColumn("m", F.coalesce("m", F.when(F.length("body") > rules.MAKER_TOP, best("body")))).where("m IS NOT NULL").select("doc_id", "m")
     spelled = F.coalesce(F.create_map(*[F.lit(x) for pair in rules.MAKER_SPELLING for x in pair])[F.lower("m.name")], F.col("m.name"))
     return rows.select("doc_id", spelled.alias("value"), F.col("m.line").alias("snippet"), F.when(F.col("m.score") <= rules.MAKER_SURE, "high").otherwise("medium").alias("confidence"))
 
@@ -86,7 +89,7 @@ def profile_facts(facts: DataFrame, ranked: DataFrame) -> DataFrame:
     """Facts with the profile facts anew: profile, confidence, rationale and one a further profile, after all others.  ranked(doc_id, rank, profile, score)."""
     kept = facts.where(~F.col("name").isin(*rules.PROFILE_FACTS))
     first = facts.where("snippet <> ''").groupBy("doc_id").agg(F.min_by("snippet", "fact_ord").alias("snippet"))
-    found = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "profile", "score"))).alias("r")).join(first, "doc_id", "left")
+    found = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "profile", "score"))).alias("r")).join(large(first), "doc_id", "left")
     score = F.col("r")[0]["score"]
     level = F.when(score >= 14, "high").when(score >= 8, "medium").otherwise("low")
     names = F.transform("r", lambda x: x["profile"])
@@ -103,4 +106,4 @@ def fact_links(candidates: DataFrame, facts: DataFrame, most: int = 8) -> DataFr
     cited = candidates.select("doc_id", "code", F.explode(F.slice("matched", 1, most)).alias("cited"))
     cited = cited.select("doc_id", "code", F.replace(F.lower(F.trim(F.substring_index("cited", ":", 1))), F.lit(" "), F.lit("_")).alias("name")).distinct()
     first = facts.groupBy("doc_id", "name").agg(F.min(F.struct("fact_ord", "value", "unit")).alias("f"))
-    return cited.join(first, ["doc_id", "name"]).select("doc_id", "code", F.col("f.fact_ord").alias("fact_ord"), F.concat_ws(" ", "f.value", "f.unit").alias("matched_value"))
+    return cited.join(large(first), ["doc_id", "name"]).select("doc_id", "code", F.col("f.fact_ord").alias("fact_ord"), F.concat_ws(" ", "f.value", "f.unit").alias("matched_value"))

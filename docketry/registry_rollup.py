@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from docketry import views
 from docketry.operators import checks as ck
@@ -81,13 +82,14 @@ _FACTS = ORACLES["extract_facts"]
     LEFT JOIN (SELECT doc_id, arg_min(snippet, fact_ord) AS snippet FROM ({_FACTS}) WHERE snippet <> '' GROUP BY doc_id) f ON f.doc_id = r.doc_id) UNION ALL SELECT doc_id, name, value, snippet, confidence FROM ({_FACTS})""")
 def profile_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = classify(views.briefs(spark, sf_dir)).ranked
-    return rf.profile_facts(fc.extract_facts(views.sheets(spark, sf_dir)), ranked).select("doc_id", "name", "value", "snippet", "confidence")
+    facts = fc.extract_facts(views.sheets(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+    return rf.profile_facts(facts, ranked).select("doc_id", "name", "value", "snippet", "confidence")
 
 
 @query("fact_links", f"""SELECT DISTINCT doc_id, 'C' || (fact_ord % 3) AS code, first_ AS fact_ord, told AS matched_value FROM (SELECT *, min(fact_ord) OVER (PARTITION BY doc_id, name) AS first_, arg_min(value, fact_ord) OVER (PARTITION BY doc_id, name) AS told, row_number() OVER (PARTITION BY doc_id, fact_ord % 3 ORDER BY fact_ord) AS place FROM ({_FACTS})) x
     WHERE place <= 8""")
 def fact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = fc.extract_facts(views.sheets(spark, sf_dir))
+    facts = fc.extract_facts(views.sheets(spark, sf_dir)).select("doc_id", "fact_ord", "name", "value", "unit").persist(StorageLevel.MEMORY_AND_DISK)
     cites = F.transform(F.array_sort(F.collect_list(F.struct("fact_ord", "name"))), lambda x: F.concat(F.initcap(F.replace(x["name"], F.lit("_"), F.lit(" "))), F.lit(": seen")))
     cited = facts.groupBy("doc_id", F.concat(F.lit("C"), (F.col("fact_ord") % 3).cast("string")).alias("code")).agg(cites.alias("matched"))
     return rf.fact_links(cited, facts)
