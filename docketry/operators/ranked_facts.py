@@ -32,6 +32,27 @@ def spans(text: Column, pattern: str) -> Column:
     return F.aggregate(whole, none, add)
 
 
+def whole_spans(text: Column, pattern: str) -> Column:
+    """array<struct<start, stop, name>> of all matches of a pattern, 0-based; name is the whole match.
+
+    The parts between the matches and the matches themselves tell the places, so each text is searched in one pass from match to match.
+    """
+    p = F.lit(f"(?is){pattern}")
+    found = F.regexp_extract_all(text, p, F.lit(0))
+    parts = F.split(text, f"(?is){pattern}", -1)
+    none = F.array().cast("array<struct<start:int,stop:int,name:string>>")
+
+    def add(made: Column, x: Column) -> Column:
+        past = F.coalesce(F.try_element_at(made, F.lit(-1))["stop"], F.lit(0))
+        return F.concat(made, F.array(F.struct((past + F.length(x["lead"])).alias("start"), (past + F.length(x["lead"]) + F.length(x["all"])).alias("stop"), F.coalesce(x["name"], F.lit("")).alias("name"))))
+
+    def placed(matches: Column) -> Column:
+        return F.aggregate(F.arrays_zip(F.slice(parts, F.lit(1), F.size(matches)).alias("lead"), matches.alias("all"), matches.alias("name")), none, add)
+
+    # one element, so that the matches are found once
+    return F.transform(F.array(found), placed)[0]
+
+
 def rank_manufacturer(docs: DataFrame) -> DataFrame:
     """(doc_id, value, snippet, confidence): the mention of least score, the earlier one of equals.
 
@@ -39,7 +60,8 @@ def rank_manufacturer(docs: DataFrame) -> DataFrame:
     and 8 off; boilerplate doesn't count.  The head of the text is tried first, the
     whole only if it is longer and the head names none.
     """
-    names = r"\b(" + "|".join(rules.MANUFACTURERS) + r")\b"
+    # the letter that names begin with is looked at first: few places of a text have one
+    names = rf"\b(?=[{''.join(sorted({m[0].lower() for m in rules.MANUFACTURERS}))}])(?:" + "|".join(rules.MANUFACTURERS) + r")\b"
     rows = docs.select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit("")).alias("body")).withColumn("top", F.substring("body", 1, rules.MAKER_TOP))
 
     def best(c: str) -> Column:
@@ -52,11 +74,13 @@ def rank_manufacturer(docs: DataFrame) -> DataFrame:
             return F.struct((50 - less).alias("score"), m["start"].alias("start"), m["name"].alias("name"), m["line"].alias("line"))
 
         weak = lambda m: tx.contains_any(F.lower(m["line"]), rules.MAKER_BOILERPLATE) | tx.contains_any(m["near"], rules.MAKER_BOILERPLATE)
-        return F.array_min(F.transform(F.filter(F.transform(spans(F.col(c), names), seen), lambda m: ~weak(m)), scored))
+        return F.array_min(F.transform(F.filter(F.transform(whole_spans(F.col(c), names), seen), lambda m: ~weak(m)), scored))
 
-    rows = rows.where(tx.contains_any(F.lower("body"), tuple(name.lower() for name in rules.MANUFACTURERS)))
-    rows = rows.withColumn("m", best("top"))
-    rows = rows.withColumn("m", F.coalesce("m", F.when(F.length("body") > rules.MAKER_TOP, best("body")))).where("m IS NOT NULL").select("doc_id", "m")
+    rows = rows.withColumn("low", F.lower("body"))
+    found = F.coalesce(best("top"), F.when(F.length("body") > rules.MAKER_TOP, best("body")))
+    found = F.when(tx.contains_any(F.col("low"), tuple(name.lower() for name in rules.MANUFACTURERS)), found)
+    # a generator, as a filter would be moved below the columns and build the text anew for each of their uses
+    rows = rows.select("doc_id", F.explode(F.array_compact(F.array(found))).alias("m"))
     spelled = F.coalesce(F.create_map(*[F.lit(x) for pair in rules.MAKER_SPELLING for x in pair])[F.lower("m.name")], F.col("m.name"))
     return rows.select("doc_id", spelled.alias("value"), F.col("m.line").alias("snippet"), F.when(F.col("m.score") <= rules.MAKER_SURE, "high").otherwise("medium").alias("confidence"))
 
