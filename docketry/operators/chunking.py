@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.functions.joins import large
 from docketry.operators import facts as fx
 from docketry.operators import history as hs
 from docketry.rules import identity
@@ -104,7 +105,7 @@ def ingested(docs: DataFrame, most: int = rules.MAX_TEXT_CHARS) -> DataFrame:
 def ingest_history(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents with their outcome, and the chunks and markers of those that were queued and are now indexed."""
     done = ingested(docs)
-    fresh = done.where("ingestion_status = 'indexed'").join(docs.where("ingestion_status = 'queued'").select("history_doc_id"), "history_doc_id", "left_semi").select("history_doc_id", "text")
+    fresh = done.where("ingestion_status = 'indexed'").join(large(docs.where("ingestion_status = 'queued'").select("history_doc_id")), "history_doc_id", "left_semi").select("history_doc_id", "text")
     return done, chunk_documents(fresh), fx.extract_markers(fresh.withColumnRenamed("history_doc_id", "doc_id"))
 
 

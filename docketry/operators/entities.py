@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.functions.joins import large
 from docketry.operators import checks as ck
 from docketry.rules import checks as rules
 
@@ -136,13 +137,13 @@ def resolve_entities(docs: DataFrame) -> DataFrame:
 def owned_evidence(entities: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, entity, relation, owned, attributes, own_section, classifiable) of each product: distinct lines that speak of it or of its attributes."""
     of = entities.where("entity_type = 'technical_attribute' AND parent IS NOT NULL").groupBy("doc_id", F.col("parent").alias("entity")).agg(F.collect_set("line_no").alias("held"), F.count("*").alias("attributes"))
-    products = entities.where("entity_type = 'product'").join(of, ["doc_id", "entity"], "left")
+    products = entities.where("entity_type = 'product'").join(large(of), ["doc_id", "entity"], "left")
     held = F.coalesce("held", F.array().cast("array<int>"))
     subject = F.col("relation").isin("primary_subject", "secondary_subject")
     owned = F.size(F.when(subject, F.array_union("spans", held)).otherwise(held))
     sections = docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(rules.SECTION), F.lit(1)).alias("sections"))
     own = F.exists("sections", lambda s: F.regexp_like(s, F.concat(F.lit(r"(?i)\b\Q"), "entity", F.lit(r"\E\b"))))
-    return products.join(sections, "doc_id").select("doc_id", "entity", "relation", owned.alias("owned"), F.coalesce("attributes", F.lit(0)).alias("attributes"), own.alias("own_section"), (subject & (owned >= 1)).alias("classifiable"))
+    return products.join(large(sections), "doc_id").select("doc_id", "entity", "relation", owned.alias("owned"), F.coalesce("attributes", F.lit(0)).alias("attributes"), own.alias("own_section"), (subject & (owned >= 1)).alias("classifiable"))
 
 
 def qualify(docs: DataFrame, owned: DataFrame) -> DataFrame:
@@ -181,11 +182,11 @@ def intake_reports(waiting: DataFrame, entities: DataFrame) -> DataFrame:
     """(doc_id, report): the qualification, subjects and attached context of documents that don't go on, as Markdown lines."""
     listed = lambda test, what: F.array_sort(F.collect_list(F.when(test, F.struct("n", what.alias("x")))))
     kind = F.col("entity_type")
-    held = entities.join(waiting.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(
+    held = entities.join(large(waiting.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(
         listed((kind == "product") & F.col("eligible"), F.concat_ws(" - ", F.upper("entity"), "relation")).alias("subjects"),
         listed(kind.isin("technical_attribute", "history_record"), F.concat(F.when(kind == "history_record", "- Internal history reference: ").otherwise("- Technical attribute: "), "entity")).alias("context"),
     )
-    rows = waiting.join(held, "doc_id", "left")
+    rows = waiting.join(large(held), "doc_id", "left")
     lines = lambda c, f, none: F.coalesce(F.when(F.size(c) > 0, F.transform(F.col(c), f)), F.array(F.lit(none)))
     body = F.concat(
         F.array(F.lit("## Document qualification"), F.concat(F.lit("- Document role: "), "role"), F.concat(F.lit("- Classifiability: "), "state"), F.lit("## Detected product entities")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from docketry.functions.joins import large
 
 
 def evaluate_corpus(cases: DataFrame, ranked: DataFrame, instructions: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def evaluate_corpus(cases: DataFrame, ranked: DataFrame, instructions: DataFrame
     noticed = instructions.select("doc_id").distinct().withColumn("noticed", F.lit(True))
     proposed = candidates.select("doc_id").distinct().withColumn("proposed", F.lit(True))
     none = F.array().cast("array<string>")
-    rows = cases.join(detected, "doc_id", "left").join(noticed, "doc_id", "left").join(proposed, "doc_id", "left")
+    rows = cases.join(large(detected), "doc_id", "left").join(large(noticed), "doc_id", "left").join(large(proposed), "doc_id", "left")
     profiles = (F.size(F.array_except(F.coalesce("expected", none), "detected")) == 0) & ~F.arrays_overlap(F.coalesce("forbidden", none), "detected")
     primary = F.col("primary").isNull() | (F.col("primary") == F.col("first"))
     injection = ~F.coalesce("injection", F.lit(False)) | (F.col("noticed").isNotNull() & F.col("proposed").isNull())
@@ -29,7 +30,7 @@ def corpus_metrics(cases: DataFrame, verdicts: DataFrame, candidates: DataFrame,
     cases as of evaluate_corpus with the columns ``by``, verdicts its result, candidates(doc_id, supported).
     """
     counted = candidates.groupBy("doc_id").agg(F.count("*").alias("made"), F.count_if(~F.col("supported")).alias("bare"))
-    rows = cases.join(verdicts, "doc_id").join(counted, "doc_id", "left").fillna(0, ["made", "bare"])
+    rows = cases.join(large(verdicts), "doc_id").join(large(counted), "doc_id", "left").fillna(0, ["made", "bare"])
     asserts = (F.size(F.coalesce("expected", F.array().cast("array<string>"))) > 0) | (F.size(F.coalesce("forbidden", F.array().cast("array<string>"))) > 0)
     primary, injection = F.col("primary").isNotNull(), F.coalesce("injection", F.lit(False))
     return rows.groupBy(*by).agg(
@@ -43,4 +44,4 @@ def compare_signatures(left: DataFrame, right: DataFrame) -> DataFrame:
     def of(df: DataFrame, side: str) -> DataFrame:
         return df.select("doc_id", F.struct("profile", F.array_sort(F.array_distinct("paths")).alias("paths"), F.array_sort(F.array_distinct("codes")).alias("codes")).alias(side))
 
-    return of(left, "a").join(of(right, "b"), "doc_id", "full").select("doc_id", F.col("a").eqNullSafe(F.col("b")).alias("same"))
+    return of(left, "a").join(large(of(right, "b")), "doc_id", "full").select("doc_id", F.col("a").eqNullSafe(F.col("b")).alias("same"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import text as tx
+from docketry.functions.joins import large
 from docketry.operators.nested import nest
 from docketry.rules import prior as rules
 from docketry.rules import review
@@ -44,7 +45,7 @@ def prior_stage_candidates(docs: DataFrame, facts: DataFrame) -> DataFrame:
 
     A rule is a triple of masks: bits all of which, one of which and none of which the document must have.
     """
-    rows = docs.select("doc_id").distinct().join(presence(facts), "doc_id", "left").fillna(0, ["mask", "soc", "rf"])
+    rows = docs.select("doc_id").distinct().join(large(presence(facts)), "doc_id", "left").fillna(0, ["mask", "soc", "rf"])
     mask = F.col("mask")
     primary = mask.bitwiseAND(F.lit(_mask(("core", "converter")))) == _mask(("core", "converter"))
     sure = {"soc": F.when(F.col("soc") >= rules.MANY_SOC, "medium").otherwise("low"), "rf": F.when(F.col("rf") >= rules.MANY_RF, "medium").otherwise("low"), "medium": F.lit("medium"), "low": F.lit("low")}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.functions.joins import large
 from docketry.functions.text import is_specific_code
 from docketry.operators.profiles import rule_table
 from docketry.rules import review as rules
@@ -13,7 +14,7 @@ from docketry.rules import review as rules
 def completion_status(runs: DataFrame, issues: DataFrame) -> DataFrame:
     """(run_id, fallback_used, status, validation_status) from runs(run_id, mode, backend_status) and issues(run_id, severity)."""
     had = issues.groupBy("run_id").agg(F.bool_or(F.col("severity") == "error").alias("errors"), F.count("*").alias("n"))
-    rows = runs.join(had, "run_id", "left")
+    rows = runs.join(large(had), "run_id", "left")
     fallback, errors, n = F.col("mode") == "heuristic_fallback", F.coalesce("errors", F.lit(False)), F.coalesce("n", F.lit(0))
     status = F.when(F.col("backend_status") == "unknown", "unknown").when((F.col("backend_status") != "completed") | fallback | errors, "needs_attention").otherwise("completed")
     validation = F.when(errors, "failed").when(fallback | (n > 0), "warnings").otherwise("passed")
@@ -52,7 +53,7 @@ def latest_review(reviews: DataFrame) -> DataFrame:
 
 def review_label(runs: DataFrame, latest: DataFrame) -> DataFrame:
     """(run_id, code) of the review ladder."""
-    rows = runs.select("run_id", "requires_human_review").join(latest, "run_id", "left")
+    rows = runs.select("run_id", "requires_human_review").join(large(latest), "run_id", "left")
     waiting = F.col("status").isNull() | (F.col("status") == "pending_review")
     code = (
         F.when(~F.col("requires_human_review"), "not_requested").when(waiting & F.coalesce("claimed", F.lit(False)), "under_review").when(waiting, "review_required")
@@ -107,7 +108,7 @@ def memo_versions(memos: DataFrame) -> DataFrame:
 def deletable(documents: DataFrame, runs: DataFrame) -> DataFrame:
     """Archived documents(doc_id, archived) without a run that is still queued or running."""
     active = runs.where(F.col("status").isin("queued", "running", "processing")).select("doc_id").distinct()
-    return documents.where("archived").join(active, "doc_id", "left_anti").select("doc_id")
+    return documents.where("archived").join(large(active), "doc_id", "left_anti").select("doc_id")
 
 
 def open_review_paths(paths: DataFrame) -> DataFrame:
@@ -127,11 +128,11 @@ def execution_notice(runs: DataFrame) -> DataFrame:
 def eligible_state(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """(doc_id, state): review candidates, only others, or none."""
     had = candidates.groupBy("doc_id").agg(F.bool_or(F.coalesce("candidate_type", F.lit("review_candidate")) == "review_candidate").alias("some"))
-    return docs.select("doc_id").join(had, "doc_id", "left").select("doc_id", F.when(F.col("some"), "eligible_candidates").when(F.col("some").isNotNull(), "blocked_or_unsupported_candidates").otherwise("no_eligible_candidates").alias("state"))
+    return docs.select("doc_id").join(large(had), "doc_id", "left").select("doc_id", F.when(F.col("some"), "eligible_candidates").when(F.col("some").isNotNull(), "blocked_or_unsupported_candidates").otherwise("no_eligible_candidates").alias("state"))
 
 
 def verified_candidates(candidates: DataFrame, regulations: DataFrame, mapped: DataFrame, cited: DataFrame) -> DataFrame:
     """Candidates(doc_id, code, path_key, paragraph, has_criteria) with a valid code, a current regulation with version and date, a paragraph, criteria, a mapped fact and a citation."""
     current = regulations.where("verification_status = 'current' AND version <> '' AND dated").select("code").distinct()
     rows = candidates.where(is_specific_code(F.col("code")) & (F.coalesce("paragraph", F.lit("")) != "") & F.col("has_criteria")).join(current, "code", "left_semi")
-    return rows.join(mapped, "doc_id", "left_semi").join(cited, "doc_id", "left_semi").select("doc_id", "code", "path_key")
+    return rows.join(large(mapped), "doc_id", "left_semi").join(large(cited), "doc_id", "left_semi").select("doc_id", "code", "path_key")
